@@ -36,7 +36,7 @@ def as_text(variant: Column, path: str = "$") -> Column:
 def as_tags(variant: Column, path: str = "$") -> Column:
     """A list's scalars as text; an empty array for anything that is no list."""
     items = F.try_variant_get(variant, path, "array<variant>")
-    texts = F.filter(F.transform(items, as_text), lambda t: t.isNotNull())
+    texts = F.filter(F.transform(items, lambda item: as_text(item)), lambda t: t.isNotNull())
     return F.when(is_array(at(variant, path)), texts).otherwise(F.array().cast("array<string>"))
 
 

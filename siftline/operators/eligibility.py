@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.patterns import any_phrase, phrase, sql_string
 from siftline.functions.text import join_fields
+from siftline.operators.once import compute_once
 from siftline.operators.predicates import PREDICATES
 from siftline.operators.rules import Rule, RuleSet
 from siftline.schema import DIMENSION_VERDICT, ELIGIBILITY, ELIGIBILITY_VERDICT, SEARCHABLE_FIELDS, Profile
@@ -126,7 +127,7 @@ def resolve_eligibility(
     columns = {fields: f"_scope_{i}" for i, fields in enumerate(sorted(needed))}
     scoped = listings.withColumns({column: scope_fields(fields) for fields, column in columns.items()})
     dimensions = [resolve_dimension(d, columns, profile, ruleset, now) for d in ruleset.dimensions]
-    resolved = scoped.withColumn("_dimensions", F.array(*dimensions)).drop(*columns.values())
+    resolved = compute_once(scoped, {"_dimensions": F.array(*dimensions)}).drop(*columns.values())
     verdict = F.struct(combine(F.col("_dimensions")).alias("eligibility"), F.col("_dimensions").alias("dimensions"))
     return resolved.withColumn(name, verdict.cast(ELIGIBILITY_VERDICT)).drop("_dimensions")
 
@@ -155,8 +156,12 @@ def summary(verdict: Column) -> Column:
 
 
 def explain_dimensions(labelled: DataFrame) -> DataFrame:
-    """One row per listing and dimension, with the evidence."""
-    return labelled.select("id", F.inline("eligibility.dimensions"))
+    """One row per listing and dimension, with the evidence.
+
+    The outer form stops the planner from testing the array for emptiness before
+    the scan, which would work out every verdict twice.
+    """
+    return labelled.select("id", F.inline_outer("eligibility.dimensions")).filter(F.col("dimension").isNotNull())
 
 
 def eligibility_counts(labelled: DataFrame, outcome: Column | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftline.functions import clocks
-from siftline.functions.text import lookup
+from siftline.functions.text import bind, lookup
 from siftline.schema import Profile
 
 
@@ -40,15 +40,22 @@ def insufficient_overlap(text: Column, profile: Profile, now: datetime) -> Colum
     hours = _available_hours(profile, now)
     if not hours:
         return F.lit(None).cast("string")
-    zone, required = clocks.stated_zone(text), clocks.required_hours(text)
-    available = lookup(zone, hours, "double")
-    message = F.concat(
-        F.lit("Requires "), required.cast("int").cast("string"), F.lit("h overlap with "), F.upper(zone),
-        F.lit(f"; your timezone ({profile.timezone}) gives about "),
-        lookup(zone, {k: f"{v:.1f}" for k, v in hours.items()}),
-        F.lit("h of standard working-hour overlap"),
-    )
-    return F.when(available < required.cast("int"), message)
+
+    def message(stated: Column) -> Column:
+        zone, required = stated["zone"], stated["hours"].cast("int")
+        said = F.concat(
+            F.lit("Requires "), required.cast("string"), F.lit("h overlap with "), F.upper(zone),
+            F.lit(f"; your timezone ({profile.timezone}) gives about "),
+            lookup(zone, {k: f"{v:.1f}" for k, v in hours.items()}),
+            F.lit("h of standard working-hour overlap"),
+        )
+        return F.when(lookup(zone, hours, "double") < required, said)
+
+    return bind(_stated(text), message)
+
+
+def _stated(text: Column) -> Column:
+    return F.struct(clocks.required_hours(text).alias("hours"), clocks.stated_zone(text).alias("zone"))
 
 
 def sufficient_overlap(text: Column, profile: Profile, now: datetime) -> Column:
@@ -56,12 +63,16 @@ def sufficient_overlap(text: Column, profile: Profile, now: datetime) -> Column:
 
     That includes hours stated for a zone nobody recognises.
     """
-    required = clocks.required_hours(text)
-    fits = insufficient_overlap(text, profile, now).isNull()
-    return F.when(
-        required.isNotNull() & fits,
-        F.concat(F.lit("Stated overlap requirement of "), required, F.lit("h is satisfiable")),
-    )
+    available = _available_hours(profile, now)
+
+    def message(stated: Column) -> Column:
+        said = F.concat(F.lit("Stated overlap requirement of "), stated["hours"], F.lit("h is satisfiable"))
+        if not available:
+            return said
+        short = lookup(stated["zone"], available, "double") < stated["hours"].cast("int")
+        return F.when(~F.coalesce(short, F.lit(False)), said)
+
+    return bind(_stated(text), message)
 
 
 def contract_mismatch(profile: Profile) -> Column:

@@ -11,6 +11,7 @@ from siftline.functions.dates import micros
 from siftline.functions.patterns import quote
 from siftline.functions.text import searchable_text
 from siftline.operators.eligibility import effective_eligibility
+from siftline.operators.once import compute_once
 from siftline.schema import Profile
 
 # --- Fixed values: weights and decay ---
@@ -84,7 +85,7 @@ def prescore(view: DataFrame, profile: Profile, now: datetime, name: str = "pres
         + F.lit(RECENCY_WEIGHT) * recency(F.col("posted_at"), now)
         + F.lit(ELIGIBILITY_WEIGHT) * eligibility_weight(outcome)
     )
-    return scored.withColumn(name, F.round(total, 6)).drop("_text")
+    return compute_once(scored, {name: F.round(total, 6)}).drop("_text")
 
 
 def rank(scored: DataFrame) -> DataFrame:

@@ -146,8 +146,7 @@ def parse_responses(replies: DataFrame, batch_sizes: DataFrame) -> DataFrame:
     """
     entries = (
         _with_results(replies)
-        .filter(F.col("_results").isNotNull())
-        .select("batch_id", F.posexplode("_results").alias("_at", "_entry"))
+        .select("batch_id", F.posexplode_outer("_results").alias("_at", "_entry"))
         .filter(coerce.is_object(F.col("_entry")))
     )
     reason = F.try_variant_get("_entry", "$.reason", "string")

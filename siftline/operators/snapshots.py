@@ -150,7 +150,7 @@ def patch_events(checked: DataFrame) -> DataFrame:
     ``clear`` become null.
     """
     valid = checked.filter(F.col("problem").isNull())
-    exploded = valid.select("id", F.explode("_fields").alias("field", "_value"), "seq").filter(F.col("_value").isNotNull())
+    exploded = valid.select("id", F.explode_outer("_fields").alias("field", "_value"), "seq").filter(F.col("_value").isNotNull())
     cleared = ((F.col("field") == "notes") & (F.col("_value") == "")) | (
         (F.col("field") == "eligibility_override") & (F.col("_value") == "clear")
     )

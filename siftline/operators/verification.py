@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftline.functions.dates import timestamp_literal
 from siftline.functions.patterns import quote, sql_string
 from siftline.functions.text import searchable_text
+from siftline.operators.once import compute_once
 from siftline.schema import VERIFICATION
 
 # --- Fixed values: signals (id, pattern, weight, reason), thresholds, phrases ---
@@ -153,7 +154,7 @@ def _result(tier: Column, reasons: Column, checked_at: Column | None = None, sta
 
 def with_signals(listings: DataFrame, name: str = "signals") -> DataFrame:
     texts = listings.withColumn("_text", searchable_text()).withColumn("_folded", F.lower("_text"))
-    return texts.withColumn(name, scam_signals("_text", "_folded")).drop("_text", "_folded")
+    return compute_once(texts, {name: scam_signals("_text", "_folded")}).drop("_text", "_folded")
 
 
 def assess_legitimacy(listings: DataFrame, name: str = "legitimacy") -> DataFrame:

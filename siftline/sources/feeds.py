@@ -152,7 +152,7 @@ def _open_rss(payloads: DataFrame) -> DataFrame:
     )
     none = F.array().cast(f"array<{_ITEM}>")
     items = F.coalesce(F.col("_rss.channel.item"), F.col("_rss.item"), none)
-    return parsed.withColumns({"problem": problem, "records": items}).drop("_rss")
+    return parsed.withColumns({"problem": problem, "records": F.when(problem.isNull(), items)}).drop("_rss")
 
 
 def split_headline(headline: Column) -> tuple[Column, Column]:
@@ -167,8 +167,10 @@ def split_headline(headline: Column) -> tuple[Column, Column]:
 
 
 def read_weworkremotely(payloads: DataFrame) -> DataFrame:
-    opened = _open_rss(payloads).filter(F.col("problem").isNull())
-    rows = opened.select("source", "company", "payload_id", F.posexplode("records").alias("record_pos", "record"))
+    exploded = _open_rss(payloads).select(
+        "source", "company", "payload_id", F.posexplode_outer("records").alias("record_pos", "record")
+    )
+    rows = exploded.filter(F.col("record").isNotNull())
 
     def field(name: str) -> Column:
         texts = F.transform(F.col(f"record.{name}"), strip_or_null)

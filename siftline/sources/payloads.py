@@ -63,8 +63,12 @@ def problems(opened: DataFrame) -> DataFrame:
 
 
 def records(opened: DataFrame) -> DataFrame:
-    """One row per record that is an object, with its place in the payload."""
-    exploded = opened.filter(F.col("problem").isNull()).select(
-        "source", "company", "payload_id", "kind", F.posexplode("records").alias("record_pos", "record")
+    """One row per record that is an object, with its place in the payload.
+
+    The outer form keeps the planner from parsing each payload once more, just
+    to see whether it has records; unreadable payloads give a null record.
+    """
+    exploded = opened.select(
+        "source", "company", "payload_id", "kind", F.posexplode_outer("records").alias("record_pos", "record")
     )
     return exploded.filter(coerce.is_object(F.col("record")))
