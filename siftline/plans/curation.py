@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators import funnel, ranking, reports, scoring, snapshots, verification
@@ -174,27 +174,34 @@ def import_scores(store: Store, run: int, replies: DataFrame, provider: str, now
     return store.write("matches", run, scoring.attach_scores(batches, answers, provider, now))
 
 
+# The counters of a run.
+COUNTERS = (
+    "fetched", "normalised", "deduplicated", "eligible", "ineligible", "unknown_eligibility", "filtered_out", "verified",
+)
+
+
 def _report(store: Store, run: int) -> DataFrame:
-    """Counters from the stored tables; each is a narrow scan."""
-    outcomes = store.read("eligibility", run).agg(
-        F.count("*").alias("deduplicated"),
-        *[
-            F.count_if(F.col("eligibility.eligibility") == e).alias(name)
-            for e, name in (("eligible", "eligible"), ("ineligible", "ineligible"), ("unknown", "unknown_eligibility"))
-        ],
-    )
+    """One row of counters from the stored tables; each is a narrow scan."""
+
+    def counter(name: str, rows: DataFrame, value: Column) -> DataFrame:
+        return rows.agg(value.cast("bigint").alias("n")).select(F.lit(name).alias("counter"), "n")
+
+    verdicts, rows = store.read("eligibility", run), F.count("*")
+    outcome = F.col("eligibility.eligibility")
     parts = [
-        store.read("source_runs", run).agg(
-            F.coalesce(F.sum("fetched"), F.lit(0)).alias("fetched"),
-            F.array_sort(F.collect_set("error")).alias("errors"),
-        ),
-        store.read("incoming", run).agg(F.count("*").alias("normalised")),
-        outcomes,
-        store.read("drops", run).agg(F.count_if(F.col("drop_reason").isNotNull()).alias("filtered_out")),
-        store.read("verification", run).agg(F.count("*").alias("verified")),
+        counter("fetched", store.read("source_runs", run), F.sum("fetched")),
+        counter("normalised", store.read("incoming", run), rows),
+        counter("deduplicated", verdicts, rows),
+        counter("eligible", verdicts, F.count_if(outcome == "eligible")),
+        counter("ineligible", verdicts, F.count_if(outcome == "ineligible")),
+        counter("unknown_eligibility", verdicts, F.count_if(outcome == "unknown")),
+        counter("filtered_out", store.read("drops", run), F.count_if(F.col("drop_reason").isNotNull())),
+        counter("verified", store.read("verification", run), rows),
     ]
-    # Every part is a single row: an aggregate without groups.
-    report = parts[0]
+    stacked = parts[0]
     for part in parts[1:]:
-        report = report.join(F.broadcast(part), F.lit(True))
-    return report.withColumn("run_id", F.lit(run))
+        stacked = stacked.unionByName(part)
+    return stacked.agg(
+        F.lit(run).alias("run_id"),
+        *[F.coalesce(F.max(F.when(F.col("counter") == c, F.col("n"))), F.lit(0)).alias(c) for c in COUNTERS],
+    )

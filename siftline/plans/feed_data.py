@@ -128,9 +128,8 @@ def hackernews(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     title = F.when(d % 3 == 0, F.lit('"Ask HN: Who is hiring? (2026)"')).when(d % 3 == 1, F.lit('"Ask HN: Who wants to be hired?"')).otherwise(F.lit("null"))
     stories = _object([("objectID", F.concat(F.lit('"9'), n, F.lit('"'))), ("title", title), ("created_at", F.concat(F.lit('"2026-02-01T'), F.lpad(n, 12, "0"), F.lit('"')))])
-    newest = docs.filter(d % 3 == 0).agg(F.max("doc_id").cast("string").alias("newest"))
-    # One row by construction.
-    joined = docs.join(F.broadcast(newest), F.lit(True))
+    newest = docs.filter(d % 3 == 0).agg(F.max("doc_id").cast("string"))
+    joined = docs.withColumn("newest", newest.scalar())
     comments = _object(
         [
             ("objectID", F.when(d % 10 != 6, F.concat(F.lit('"'), n, F.lit('"')))),

@@ -249,9 +249,11 @@ def read_hackernews(payloads: DataFrame) -> DataFrame:
 def problems_hackernews(payloads: DataFrame) -> DataFrame:
     unreadable = P.problems(_hits(payloads, "stories")).unionByName(P.problems(_hits(payloads, "comments")))
     landed = payloads.filter((F.col("source") == "hackernews") & (F.col("kind") == "stories"))
-    seen = landed.agg(F.count("*").alias("n")).filter(F.col("n") > 0)
-    threads = latest_thread(payloads).agg(F.count("*").alias("threads")).filter(F.col("threads") == 0)
-    missing = seen.join(threads, F.lit(True), "left_semi").select(
+    marks = landed.select(F.lit("landed").alias("mark")).unionByName(
+        latest_thread(payloads).select(F.lit("thread").alias("mark"))
+    )
+    counted = marks.agg(*[F.count_if(F.col("mark") == m).alias(m) for m in ("landed", "thread")])
+    missing = counted.filter((F.col("landed") > 0) & (F.col("thread") == 0)).select(
         F.lit("hackernews").alias("source"),
         F.lit(None).cast("string").alias("company"),
         F.lit(None).cast("string").alias("payload_id"),
