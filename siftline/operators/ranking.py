@@ -101,9 +101,14 @@ def rank_positions(scored: DataFrame, name: str = "position", id_prefix: int = 3
     Ids are hashes, so even a score shared by a third of all rows splits into
     ``16 ** id_prefix`` even groups. The start of each score is a running sum
     over the distinct six-decimal scores, of which there are at most a million.
+
+    Only id and score are shuffled for this; the sizes and the rows read the
+    same shuffle. Other columns are joined back by id.
     """
-    keyed = scored.withColumn("_part", F.substring("id", 1, id_prefix))
-    sizes = keyed.groupBy("prescore", "_part").agg(F.count("*").alias("_size"))
+    keyed = scored.select("id", "prescore").withColumn("_part", F.substring("id", 1, id_prefix))
+    spread = keyed.repartition("prescore", "_part")
+    # Counting ids keeps both uses of the shuffle identical, so it runs once.
+    sizes = spread.groupBy("prescore", "_part").agg(F.count("id").alias("_size"))
     per_score = sizes.groupBy("prescore").agg(F.sum("_size").alias("_total"))
     before_score = Window.orderBy(F.col("prescore").desc()).rowsBetween(Window.unboundedPreceding, -1)
     starts = per_score.select(
@@ -112,11 +117,14 @@ def rank_positions(scored: DataFrame, name: str = "position", id_prefix: int = 3
     before_part = Window.partitionBy("prescore").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_part_start", F.coalesce(F.sum("_size").over(before_part), F.lit(0))).drop("_size")
     inside = Window.partitionBy("prescore", "_part").orderBy("id")
-    placed = keyed.withColumn("_row", F.row_number().over(inside))
+    placed = spread.withColumn("_row", F.row_number().over(inside))
     # Both start columns travel on the small side, so rows join on an even key.
     joined = placed.join(offsets.join(starts, "prescore"), ["prescore", "_part"])
     position = F.col("_score_start") + F.col("_part_start") + F.col("_row")
-    return joined.withColumn(name, position.cast("bigint")).select(*scored.columns, name)
+    positions = joined.select("id", "prescore", position.cast("bigint").alias(name))
+    if set(scored.columns) == {"id", "prescore"}:
+        return positions
+    return scored.join(positions.select("id", name), "id")
 
 
 def topk_pending(scored: DataFrame, k: int = 200) -> DataFrame:

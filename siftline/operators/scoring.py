@@ -115,7 +115,9 @@ def _whole_number(entry: Column, path: str) -> Column:
     numeric = kind.rlike(r"\A(STRING|BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
     value = written.try_cast("double")
     # Far beyond any index or score; keeps the cast to a whole number in range.
-    return F.when(numeric, F.greatest(F.lit(-1e15), F.least(F.lit(1e15), value)).cast("bigint"))
+    # ``least`` and ``greatest`` skip nulls, so an unreadable value is left out first.
+    bounded = F.greatest(F.lit(-1e15), F.least(F.lit(1e15), value)).cast("bigint")
+    return F.when(numeric & value.isNotNull(), bounded)
 
 
 def _display(value: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import coerce
+from siftline.functions.text import strip
 
 PAYLOAD = "source string, company string, payload_id string, kind string, body string, error string"
 
@@ -37,7 +38,7 @@ def read_landing(spark: SparkSession, root: str) -> DataFrame:
         "payload_id",
         F.when(name.rlike(r"\A(stories|comments)\b"), F.regexp_extract(name, r"\A(stories|comments)", 1)).otherwise(F.lit("listings")).alias("kind"),
         F.when(~failed, F.col("value")).alias("body"),
-        F.when(failed, F.trim("value")).alias("error"),
+        F.when(failed, strip(F.col("value"))).alias("error"),
     )
 
 
