@@ -96,6 +96,8 @@ def rank(scored: DataFrame) -> DataFrame:
 def rank_positions(scored: DataFrame, name: str = "position", id_prefix: int = 3) -> DataFrame:
     """The 1-based position of every row in rank order, without a global sort.
 
+    The score is the six-decimal one of :func:`prescore`; rows without one come last.
+
     Rows are grouped by score and by the first id characters. Group sizes give
     each group's start, and only rows inside one group are sorted together.
     Ids are hashes, so even a score shared by a third of all rows splits into
@@ -105,26 +107,33 @@ def rank_positions(scored: DataFrame, name: str = "position", id_prefix: int = 3
     Only id and score are shuffled for this; the sizes and the rows read the
     same shuffle. Other columns are joined back by id.
     """
-    keyed = scored.select("id", "prescore").withColumn("_part", F.substring("id", 1, id_prefix))
-    spread = keyed.repartition("prescore", "_part")
-    # Counting ids keeps both uses of the shuffle identical, so it runs once.
-    sizes = spread.groupBy("prescore", "_part").agg(F.count("id").alias("_size"))
-    per_score = sizes.groupBy("prescore").agg(F.sum("_size").alias("_total"))
-    before_score = Window.orderBy(F.col("prescore").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # Whole, never-null keys: doubles are normalised before they are hashed and
+    # nullable keys get filters of their own, and either would split the shuffle.
+    score = F.coalesce(F.round(F.col("prescore") * 1_000_000).cast("bigint"), F.lit(-1))
+    part = F.coalesce(F.substring("id", 1, id_prefix), F.lit(""))
+    keyed = scored.select("id", score.alias("_score"), part.alias("_part"))
+    spread = keyed.repartition("_score", "_part")
+    # Counting ids keeps every use of the shuffle identical, so it runs once.
+    sizes = spread.groupBy("_score", "_part").agg(F.count("id").alias("_size"))
+    per_score = sizes.groupBy("_score").agg(F.sum("_size").alias("_total"))
+    before_score = Window.orderBy(F.col("_score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     starts = per_score.select(
-        F.col("prescore"), F.coalesce(F.sum("_total").over(before_score), F.lit(0)).alias("_score_start")
+        F.col("_score"), F.coalesce(F.sum("_total").over(before_score), F.lit(0)).alias("_score_start")
+    )
+    before_part = Window.partitionBy("_score").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "_score", "_part", F.coalesce(F.sum("_size").over(before_part), F.lit(0)).alias("_part_start")
     )
-    before_part = Window.partitionBy("prescore").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_part_start", F.coalesce(F.sum("_size").over(before_part), F.lit(0))).drop("_size")
-    inside = Window.partitionBy("prescore", "_part").orderBy("id")
+    inside = Window.partitionBy("_score", "_part").orderBy("id")
     placed = spread.withColumn("_row", F.row_number().over(inside))
     # Both start columns travel on the small side, so rows join on an even key.
-    joined = placed.join(offsets.join(starts, "prescore"), ["prescore", "_part"])
+    joined = placed.join(offsets.join(starts, "_score"), ["_score", "_part"])
     position = F.col("_score_start") + F.col("_part_start") + F.col("_row")
-    positions = joined.select("id", "prescore", position.cast("bigint").alias(name))
+    value = F.when(F.col("_score") >= 0, F.col("_score") / 1_000_000)
+    positions = joined.select("id", value.alias("prescore"), position.cast("bigint").alias(name))
     if set(scored.columns) == {"id", "prescore"}:
         return positions
-    return scored.join(positions.select("id", name), "id")
+    return scored.join(positions.drop("prescore"), "id")
 
 
 def topk_pending(scored: DataFrame, k: int = 200) -> DataFrame:
