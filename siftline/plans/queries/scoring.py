@@ -24,8 +24,15 @@ def _scored(spark, sf):
 
 
 def _batched(spark, sf):
-    """Every listing in a batch, not only the best."""
-    return S.assign_batches(_scored(spark, sf).select("id", "title", "company", "description", "location_text", "prescore"), SIZE)
+    """Every listing in a batch, not only the best; ids only."""
+    return S.assign_batches(_scored(spark, sf).select("id", "prescore"), SIZE)
+
+
+def _written(spark, rows):
+    """A stage result that several steps read: written once, as a run does."""
+    path = scratch_dir(spark)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 _BATCHED = (
@@ -59,7 +66,8 @@ _PROMPTS = (
 
 @query("render_prompt", O.with_(f"SELECT batch_id, md5(prompt) AS digest, length(prompt) AS n_chars FROM ({_PROMPTS})", "scored"))
 def render_prompt(spark, sf):
-    prompts = S.render_prompt(_batched(spark, sf), L.PROFILE.resume_text)
+    wide = _scored(spark, sf).select("id", "title", "company", "description", "location_text", "prescore")
+    prompts = S.render_prompt(S.assign_batches(wide, SIZE), L.PROFILE.resume_text)
     return prompts.select("batch_id", F.md5("prompt").alias("digest"), F.length("prompt").cast("bigint").alias("n_chars"))
 
 
@@ -121,7 +129,7 @@ _ANSWERS = (
 
 
 def _answers(spark, sf):
-    batched = _batched(spark, sf)
+    batched = _written(spark, _batched(spark, sf))
     return batched, S.parse_responses(replies(spark, sf, batched), S.batch_sizes(batched))
 
 
