@@ -54,3 +54,24 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     assert {r["eligibility"] for r in entry.entry(spark).collect()} == {"eligible", "ineligible", "unknown"}
+
+
+def test_bucketed_snapshot_is_not_shuffled_again(spark, tmp_path):
+    from siftline.operators.snapshots import upsert_snapshot
+    from siftline.sources.sinks import sink_bucketed_snapshot
+
+    current = L.listings(spark, SF)
+    table = f"snapshot_{tmp_path.name.replace('-', '_')}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS curated_{table} LOCATION '{tmp_path}/db'")
+    sink_bucketed_snapshot(current, f"curated_{table}.{table}", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        incoming = spark.createDataFrame([], current.schema).repartition(3)
+        merged = upsert_snapshot(spark.table(f"curated_{table}.{table}"), incoming)
+        text = plan(merged)
+        tree = text[: text.index("\n\n\n")]
+        stored = tree[tree.index("SortMergeJoin") :].split("Scan parquet")[0]
+        assert "Exchange" not in stored
+        assert merged.count() == current.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
