@@ -36,9 +36,9 @@ from siftline.llm.encoding import encoder
 from siftline.llm.storage import stored, text_or_empty
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, part int, nth long, ids binary"
-#: Groups of equal cardinality, and the share of a sequence from which a length is large.
-GROUPS = 24
-LARGE = 1 / 8
+#: Groups of equal cardinality, and the share of a sequence from which a length is
+#: large. All are planned, on the histogram alone, and the fewest sequences win.
+SETTINGS = ((48, 1 / 4), (48, 1 / 3), (24, 1 / 2))
 #: Sets a length's rank apart in one sorted key; ranks stay far below it.
 _RANK = 1 << 44
 
@@ -170,10 +170,21 @@ class Plan:
 
 
 def make_plan(counts: dict[int, int], capacity: int) -> Plan:
+    bound = -(-sum(n * c for n, c in counts.items()) // capacity)
+    best = None
+    for groups, large in SETTINGS:
+        plan = plan_with(counts, capacity, groups, large)
+        best = plan if best is None or plan.sequences < best.sequences else best
+        if best.sequences == bound:
+            break
+    return best
+
+
+def plan_with(counts: dict[int, int], capacity: int, groups: int, large_share: float) -> Plan:
     plan = Plan(capacity)
     if counts.get(capacity):
         plan.put(capacity, 0, plan.open(counts[capacity]), 0)
-    large = sorted((n for n in counts if capacity * LARGE < n < capacity), reverse=True)
+    large = sorted((n for n in counts if capacity * large_share < n < capacity), reverse=True)
     total = sum(counts[n] for n in large)
     # Runs (length, first rank, how many) by group; equal rounded sizes share one.
     queues: dict[int, deque] = {}
@@ -181,8 +192,8 @@ def make_plan(counts: dict[int, int], capacity: int) -> Plan:
     for n in large:
         rank, left = 0, counts[n]
         while left:
-            bound = -(-total * (done * GROUPS // total + 1) // GROUPS)
-            if done == -(-total * (done * GROUPS // total) // GROUPS) or not size:
+            bound = -(-total * (done * groups // total + 1) // groups)
+            if done == -(-total * (done * groups // total) // groups) or not size:
                 size = n
             taken = max(1, min(left, bound - done))
             queues.setdefault(size, deque()).append((n, rank, taken))
@@ -192,7 +203,7 @@ def make_plan(counts: dict[int, int], capacity: int) -> Plan:
         demand = np.array([float(sum(run[2] for run in queues[s])) for s in sizes.tolist()])
         for chosen, times in configurations(sizes, demand, capacity):
             _substitute(plan, queues, [s for s, k in zip(sizes.tolist(), chosen) for _ in range(k)], times)
-    rest = [run for queue in queues.values() for run in queue] + [(n, 0, c) for n, c in counts.items() if n <= capacity * LARGE]
+    rest = [run for queue in queues.values() for run in queue] + [(n, 0, c) for n, c in counts.items() if n <= capacity * large_share]
     for length, rank, count in sorted(rest, key=lambda run: (-run[0], run[1])):
         plan.fill(length, rank, count)
     return plan

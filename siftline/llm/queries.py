@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.llm import packing, token_files
+from siftline.llm import packing, simhash, token_counts, token_files
 from siftline.llm.storage import importable, shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +49,45 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+@query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return found.select("doc_id", digits, "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+OP1_SQL = r"""
+WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT source, lang, CASE WHEN l.quality = 0 THEN replace(coalesce(text, ''), '|', ' ') ELSE coalesce(text, '') END AS text
+  FROM documents LEFT JOIN l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1
+),
+c AS (
+  SELECT source, lang, 'words-1' AS tokenizer, length(text) AS chars,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM d
+  UNION ALL
+  SELECT source, lang, 'word-parts-1', length(text),
+    len(regexp_extract_all(text, '[A-Za-z\x{80}-\x{10FFFF}]+|[0-9]|[^A-Za-z0-9\x{80}-\x{10FFFF}\x20\x09-\x0D]+')) FROM d
+)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens, sum(chars)::BIGINT AS n_chars
+FROM c GROUP BY ALL
+"""
+
+
+@query("op1_token_rollup", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive; those labelled poor are revised (table bars out), the
+    toxic ones deleted; the last batch is delivered twice."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    marks = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    feed = docs.select("doc_id", "source", "lang", "text", F.lit(0).alias("seq"), F.lit("upsert").alias("op"))
+    rollup = token_counts.Rollup(spark, shared_root(spark))
+    rollup.commit(0, feed)
+    poor = feed.join(marks.filter("quality = 0").select("doc_id"), "doc_id").withColumn("text", F.replace("text", F.lit("|"), F.lit(" ")))
+    rollup.commit(1, poor)
+    toxic = marks.filter("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("seq"), F.lit("delete").alias("op"))
+    for _ in range(2):
+        rollup.commit(2, toxic)
+    return rollup.totals()
