@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import packing, simhash, token_counts, token_files
+from siftline.llm import packing, simhash, token_counts, token_files, warc
 from siftline.llm.storage import importable, shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         rollup.commit(2, toxic)
     return rollup.totals()
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+d AS (SELECT page_id, octet_length(raw)::BIGINT AS payload_bytes, sha1(raw) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS kept FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+FROM m
+"""
+
+
+@query("op9_warc", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
