@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import grid_join, packing, simhash, token_counts, token_files, warc
+from siftline.llm import grid_join, lattice, packing, simhash, token_counts, token_files, warc
 from siftline.llm.storage import importable, shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ FROM c LEFT JOIN n USING (vec_id)
 @query("op2_grid_join", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_join.similar_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op3_lattice_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_texts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), lattice.seventh())
