@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import grid_join, lattice, packing, simhash, token_counts, token_files, warc
+from siftline.llm import grid_join, lattice, packing, quality, simhash, token_counts, token_files, warc
 from siftline.llm.storage import importable, shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_lattice_scores")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_texts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), lattice.seventh())
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.statistics_table(table(spark, sf_dir, "documents"))
+    return quality.scores(stats, quality.fit(stats, table(spark, sf_dir, "labels")))

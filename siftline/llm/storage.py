@@ -49,3 +49,37 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def labelled(labels: DataFrame, target: str) -> DataFrame:
+    """``(doc_id, label)`` with one row per id; repeated marks count as the greater."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label"))
+    return known.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def free_name(frame: DataFrame, wanted: str) -> str:
+    """A column name that the table doesn't use."""
+    taken = {c.lower() for c in frame.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def with_scores(frame: DataFrame, text: str, name: str, scorer) -> DataFrame:
+    """Add a double column from whole texts, batch by batch, keeping every row.
+
+    ``scorer()`` is called once per task and gives ``texts -> array``.
+    """
+    import pyarrow as pa
+
+    given = free_name(frame, "given_text")
+    schema = frame.schema.add(name, "double")
+
+    def run(batches):
+        score = scorer()
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score(texts), pa.float64())], names=[f.name for f in schema])
+
+    return frame.withColumn(given, text_or_empty(text)).mapInArrow(run, schema)
