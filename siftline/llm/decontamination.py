@@ -31,7 +31,7 @@ WIDTH = 5
 COVERAGE = 0.8
 #: Literal words that a window needs, and the share of slot values that may clash.
 LITERALS = 3
-CLASHES = 0.2
+CLASHES = 0.1
 #: Benchmark windows up to which they are broadcast (32 bytes and slots each).
 BROADCAST_ROWS = 500_000
 #: Marks of a name, a number and a unit; the value follows the mark.
@@ -42,42 +42,54 @@ _UNITS = (
 )
 
 
-def marked(text: Column) -> Column:
-    """Lower-case words apart by one blank; values of slots follow their mark."""
-    plain = F.translate(text, NAME + NUMBER + UNIT, "   ")
+#: What stands between words; points and the like stay between digits.
+_SIMPLE = r"[^\p{L}\p{M}\p{N}\x01-\x03]+"
+_BETWEEN = r"(?:[^\p{L}\p{M}\p{N}\x01-\x03.,:/]|[.,:/](?!\d)|(?<!\d)[.,:/])+"
+
+
+def words_of(text: Column) -> Column:
+    """Lower-case words; the values of slots follow their mark."""
+    marks = NAME + NUMBER + UNIT
+    plain = F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, "   ")).otherwise(text)
     named = F.regexp_replace(plain, r"(?<=[\p{Ll},;] )(\p{Lu}\p{L}+)", NAME + "$1")
     numbered = F.regexp_replace(named, r"(?<![\p{L}\p{N}.,])(\d+(?:[.,:/]\d+)*)(?![\p{L}\p{N}])", NUMBER + "$1")
-    glued = F.regexp_replace(numbered, rf"(?i)(?<![\p{{L}}\p{{N}}.,])(\d+(?:[.,]\d+)*)({_UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1 {UNIT}$2")
-    united = F.regexp_replace(glued, rf"(?i)({NUMBER}[0-9.,:/]*[0-9]) ({_UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
-    # Points and the like stay only between digits.
-    return F.trim(F.regexp_replace(F.lower(united), r"(?:[.,:/](?!\d)|(?<!\d)[.,:/]|[^\p{L}\p{M}\p{N}\x01-\x03.,:/])+", " "))
+    apart = F.regexp_replace(numbered, rf"(?i)(?<![\p{{L}}\p{{N}}.,])(\d+(?:[.,]\d+)*)({_UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1 {UNIT}$2")
+    united = F.regexp_replace(apart, rf"(?i)({NUMBER}[0-9.,:/]*[0-9]) ({_UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
+    # Most texts hold no digit and are spared three passes.
+    digits = text.rlike("[0-9]")
+    return F.array_remove(F.when(digits, F.split(F.lower(united), _BETWEEN)).otherwise(F.split(F.lower(named), _SIMPLE)), "")
 
 
-def windows(frame: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, pos, hash, values, n_windows``: the windows worth comparing.
+def templates(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, words, template``: values of slots are left out of the template."""
+    texts = frame.select(*keys, text_or_empty().alias("text"))
+    words = compute_once(texts, {"words": words_of(F.col("text"))}).drop("text").filter(F.size("words") > 0)
+    blank = F.transform("words", lambda w: F.when(w < F.lit("\x04"), F.substring(w, 1, 1)).otherwise(w))
+    return compute_once(words, {"template": blank})
 
-    ``values`` are the marked values of a window's slots, in order.
-    """
-    texts = compute_once(frame.select(*keys, text_or_empty().alias("text")), {"marked": marked(F.col("text"))}).drop("text").filter("marked <> ''")
-    template = F.regexp_replace("marked", r"([\x01-\x03])\S*", "$1")
-    words = compute_once(texts, {"words": F.split("marked", " "), "template": F.split(template, " ")}).drop("marked")
+
+def window_hashes() -> Column:
+    """A hash for each window; a short text's one window has the words there are."""
     last = F.greatest(F.size("template") - WIDTH, F.lit(0))
-    word = lambda i: F.get("template", i)
-    literal = lambda i: (word(i) > F.lit(UNIT)).cast("int")
-    enough = lambda i: sum((F.coalesce(literal(i + k), F.lit(0)) for k in range(1, WIDTH)), F.coalesce(literal(i), F.lit(0)))
-    # A word that a short text lacks counts as literal.
-    short = F.greatest(F.lit(WIDTH) - F.size("template"), F.lit(0))
-    hashed = F.transform(F.sequence(F.lit(0), last), lambda i: F.when(enough(i) + short >= LITERALS, F.xxhash64(*[word(i + k) for k in range(WIDTH)])))
-    listed = compute_once(words, {"hashes": hashed})
-    counted = listed.withColumn("n_windows", F.size(F.array_compact("hashes")))
-    rows = counted.select(*keys, "words", "n_windows", F.posexplode("hashes").alias("pos", "hash")).filter("hash IS NOT NULL")
-    return rows.select(*keys, "pos", "hash", "n_windows", "words")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("template", i + k) for k in range(WIDTH)]))
 
 
 def slot_values(words: Column, pos: Column) -> Column:
+    """Marked values of a window's slots, in order."""
     return F.filter(F.slice(words, pos + 1, WIDTH), lambda w: w < F.lit("\x04"))
 
 
+def item_windows(items: DataFrame) -> DataFrame:
+    """``item_id, hash, item_pos, item_values, n_windows`` of the windows worth asking."""
+    listed = templates(items, ["item_id"]).select("item_id", "words", "template", F.posexplode(window_hashes()).alias("item_pos", "hash"))
+    window = F.slice("template", F.col("item_pos") + 1, WIDTH)
+    slots = F.size(F.filter(window, lambda w: w < F.lit("\x04")))
+    # A word that a short text lacks counts as literal: only slots can be too many.
+    useful = listed.filter(slots <= WIDTH - LITERALS)
+    rows = useful.select("item_id", "hash", "item_pos", slot_values(F.col("words"), F.col("item_pos")).alias("item_values")).distinct()
+    return stored(rows.join(rows.groupBy("item_id").agg(F.count_distinct("item_pos").cast("int").alias("n_windows")), "item_id"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that it holds.
 
@@ -85,31 +97,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``verbatim`` where every slot has the item's own value.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL")
-    asked = windows(items, ["item_id"]).select("item_id", "hash", "n_windows", F.col("pos").alias("item_pos"), slot_values(F.col("words"), F.col("pos")).alias("item_values"))
-    asked = stored(asked.distinct())
+    asked = item_windows(items)
     if asked.count() <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
+    key = ["doc_id", "text_hash"]
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text")
-    found = windows(named, ["doc_id", "text_hash"]).drop("n_windows").join(asked, "hash")
-    slots = F.arrays_zip(F.col("item_values").alias("item"), slot_values(F.col("words"), F.col("pos")).alias("doc"))
-    key = ["doc_id", "text_hash", "item_id"]
+    hashes = templates(named, key).select(*key, F.posexplode(window_hashes()).alias("pos", "hash"))
+    found = stored(hashes.join(asked, "hash").drop("hash").distinct())
+    # Values are looked up only where an item has slots, once per text and place.
+    places = found.filter(F.size("item_values") > 0).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).agg(F.collect_set("pos").alias("places"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))
+    read = templates(named.join(places, same).drop_duplicates(key), ["id", "h", "places"])
+    at = F.explode(F.transform("places", lambda p: F.struct(p.alias("pos"), slot_values(F.col("words"), p).alias("values"))))
+    values = read.select("id", "h", at.alias("v")).select("id", "h", F.col("v.pos").alias("place"), "v.values")
+    met = found.join(values, same & (F.col("pos") == F.col("place")), "left")
+    slots = F.when(F.size("item_values") > 0, F.arrays_zip(F.col("item_values").alias("item"), F.col("values").alias("doc"))).otherwise(F.array())
     # An alignment has each window of the item once: its group is the item's size.
-    aligned = found.select(*key, "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), slots.alias("slots"))
-    groups = aligned.groupBy(*key, "shift").agg(F.max("n_windows").alias("n_windows"), F.collect_set("item_pos").alias("matched"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
-    values = F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
-    consistent = F.size("slots") - values <= CLASHES * values
-    pairs = groups.filter(consistent).groupBy(*key).agg(
+    aligned = met.select(*key, "item_id", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), slots.alias("slots"))
+    groups = aligned.groupBy(*key, "item_id", "shift").agg(
+        F.max("n_windows").alias("n_windows"), F.collect_set("item_pos").alias("matched"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")
+    )
+    distinct_values = F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
+    pairs = groups.filter(F.size("slots") - distinct_values <= CLASHES * distinct_values).groupBy(*key, "item_id").agg(
         F.max("n_windows").alias("n_windows"),
         F.size(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("n_matched"),
         F.max(F.size("slots")).alias("n_slots"),
         F.min(F.forall("slots", lambda s: s["item"] == s["doc"])).alias("verbatim"),
     )
-    coverage = F.col("n_matched") / F.col("n_windows")
-    return pairs.withColumn("coverage", coverage).filter(F.col("coverage") >= COVERAGE)
+    return pairs.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= COVERAGE)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, as they came."""
-    held = contaminated(docs, benchmark).select(F.col("doc_id").alias("_held_id"), "text_hash").distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(held["_held_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == held["text_hash"])
+    held = contaminated(docs, benchmark).select(F.col("doc_id").alias("_held_id"), F.col("text_hash").alias("_held_hash")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_held_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_held_hash"))
     return docs.join(held, same, "left_anti")
