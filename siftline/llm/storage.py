@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the contracts' word pattern, as a Java and RE2 class.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,7 +74,7 @@ def with_scores(frame: DataFrame, text: str, name: str, scorer) -> DataFrame:
     import pyarrow as pa
 
     given = free_name(frame, "given_text")
-    schema = frame.schema.add(name, "double")
+    schema = StructType(list(frame.schema.fields)).add(name, "double")
 
     def run(batches):
         score = scorer()

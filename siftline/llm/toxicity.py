@@ -31,7 +31,8 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 10
 WORD_ROWS, CHAR_ROWS = 4096, 8192
 SAMPLE = 2500
-EPOCHS, BATCH, RATE = 5, 64, 0.015
+#: Epochs, but as many as make ``STEPS`` steps on small samples.
+EPOCHS, STEPS, BATCH, RATE = 5, 400, 64, 0.015
 THRESHOLD = 0.3
 SEED = 11
 #: Words and windows handled at once, and words whose inputs a task keeps.
@@ -258,7 +259,8 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Network:
     features = [(own.astype(np.int32), rows.astype(np.int32), begins) for own, rows, begins in blocks]
     optimiser, labels = _Adam(net), labels.astype(np.float32)
     sizes = np.diff(first)
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // -(-int(len(labels) + (labels == 0).sum()) // BATCH)))
+    for epoch in range(epochs):
         drawn = first[:-1] + (random.random(len(sizes)) * sizes).astype(int)
         top = _top(net, features, windows, first)[1] if epoch else drawn
         picks = np.concatenate([top, drawn[labels == 0]])
@@ -266,7 +268,7 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Network:
         order = random.permutation(len(picks))
         for start in range(0, len(order), BATCH):
             batch = order[start : start + BATCH]
-            _learn(net, optimiser, vocabulary, windows[picks[batch]], goals[batch], random, RATE * (1 - epoch / EPOCHS) + 1e-4)
+            _learn(net, optimiser, vocabulary, windows[picks[batch]], goals[batch], random, RATE * (1 - epoch / epochs) + 1e-4)
     net.calibration = calibrated(_top(net, features, windows, first)[0], labels, share)
     return net
 
