@@ -136,6 +136,8 @@ def rank_positions(scored: DataFrame, name: str = "position", id_prefix: int = 3
     return scored.join(positions.drop("prescore"), "id")
 
 
-def topk_pending(scored: DataFrame, k: int = 200) -> DataFrame:
-    """The best ``k`` rows that have no match yet: the run's scoring budget."""
-    return rank(scored.filter(F.col("match").isNull())).limit(k)
+def topk_pending(scored: DataFrame, k: int | None) -> DataFrame:
+    """The best ``k`` rows that have no match yet, the run's scoring budget; null
+    takes all of them, in no order."""
+    pending = scored.filter(F.col("match").isNull())
+    return pending if k is None else rank(pending).limit(k)

@@ -18,9 +18,7 @@ from siftline.functions.text import strip
 from siftline.operators.ranking import rank_positions
 from siftline.schema import MATCH, Profile
 
-# --- Fixed values: request and prompt limits, fallback texts ---
-REQUEST_CHARS = 6000
-PROMPT_CHARS = 4000
+# --- Fixed values: fallback texts -------------------------------
 TRUNCATED = "\n[truncated]"
 NO_PROFILE = "(no profile provided)"
 NO_DESCRIPTION = "(no description provided)"
@@ -42,13 +40,14 @@ out any listing you cannot judge.
 """
 
 
-def scoring_requests(ranked: DataFrame, *keep: str) -> DataFrame:
-    """The part of a listing the scorer sees, with the description cut to size."""
+def scoring_requests(ranked: DataFrame, *keep: str, chars: int | None = None) -> DataFrame:
+    """The part of a listing the scorer sees: its whole description, or ``chars`` of it."""
+    description = F.col("description") if chars is None else F.substring("description", 1, chars)
     return ranked.select(
         F.col("id").alias("job_id"),
         "title",
         "company",
-        F.substring("description", 1, REQUEST_CHARS).alias("description"),
+        description.alias("description"),
         "location_text",
         *keep,
     )
@@ -66,9 +65,10 @@ def assign_batches(scored: DataFrame, size: int) -> DataFrame:
     ).drop("_ordinal")
 
 
-def _block(index: Column, title: Column, company: Column, location: Column, description: Column) -> Column:
-    body = strip(description)
-    shown = F.when(F.length(body) > PROMPT_CHARS, F.concat(F.substring(body, 1, PROMPT_CHARS), F.lit(TRUNCATED))).otherwise(body)
+def _block(index: Column, title: Column, company: Column, location: Column, description: Column, chars: int | None) -> Column:
+    shown = body = strip(description)
+    if chars is not None:
+        shown = F.when(F.length(body) > chars, F.concat(F.substring(body, 1, chars), F.lit(TRUNCATED))).otherwise(body)
 
     def or_else(c: Column, fallback: str) -> Column:
         return F.coalesce(F.nullif(c, F.lit("")), F.lit(fallback))
@@ -81,16 +81,16 @@ def _block(index: Column, title: Column, company: Column, location: Column, desc
     )
 
 
-def render_prompt(batched: DataFrame, profile_text: str, template: str = DEFAULT_TEMPLATE) -> DataFrame:
+def render_prompt(batched: DataFrame, profile_text: str, template: str = DEFAULT_TEMPLATE, chars: int | None = None) -> DataFrame:
     """``(batch_id, prompt)``: one text per batch of requests.
 
-    Blocks are cut to size before they are grouped, and a group holds one batch,
-    so no group grows with the data.
+    Descriptions are whole unless ``chars`` limits them. A group holds one batch,
+    so no group grows with the number of listings.
     """
     blocks = batched.select(
         "batch_id",
         "batch_index",
-        _block(F.col("batch_index"), F.col("title"), F.col("company"), F.col("location_text"), F.col("description")).alias("block"),
+        _block(F.col("batch_index"), F.col("title"), F.col("company"), F.col("location_text"), F.col("description"), chars).alias("block"),
     )
     grouped = blocks.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("batch_index", "block"))).alias("blocks"))
     jobs = F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n")

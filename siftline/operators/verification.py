@@ -219,11 +219,9 @@ def verify(pending: DataFrame, fetches: DataFrame, now: datetime, on: str = "id"
     return joined.select("id", combine_verification(F.col("legitimacy"), F.col("liveness"), now).alias("verification"))
 
 
-def verify_pending(view: DataFrame, limit: int | None = 400, order: Sequence[Column] | None = None) -> DataFrame:
-    """Listings without a verification, in listing order, at most ``limit``.
-
-    The limit is the run's fetch budget; null takes all of them. A stored
-    ``unknown`` tier counts as verified.
+def verify_pending(view: DataFrame, limit: int | None = None, order: Sequence[Column] | None = None) -> DataFrame:
+    """Listings without a verification: all of them, or with a fetch budget the
+    first ``limit`` in listing order. A stored ``unknown`` tier counts as verified.
     """
     from siftline.operators.views import order_columns
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.operators.eligibility import effective_eligibility, summary
@@ -30,8 +30,8 @@ def order_columns(order_by: str) -> list[Column]:
     return [*orders.get(order_by, orders["match_score"]), F.col("id").asc()]
 
 
-def column_sort(view: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """Sort as the table headers do; a missing score counts as -1."""
+def sort_columns(column: str, descending: bool = False) -> list[Column]:
+    """The order of a table header; a missing score counts as -1."""
     keys = {
         "score": F.coalesce(F.col("match.score").cast("double"), F.col("prescore"), F.lit(-1.0)),
         "title": F.col("title"),
@@ -40,7 +40,12 @@ def column_sort(view: DataFrame, column: str, descending: bool = False) -> DataF
         "posted_at": F.coalesce(F.unix_micros("posted_at"), F.lit(-(2**62))),
     }
     key = keys[column]
-    return view.orderBy(key.desc() if descending else key.asc(), F.col("id").asc())
+    return [key.desc() if descending else key.asc(), F.col("id").asc()]
+
+
+def column_sort(view: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Sort as the table headers do."""
+    return view.orderBy(*sort_columns(column, descending))
 
 
 def conditions(
@@ -79,6 +84,23 @@ def list_jobs(view: DataFrame, *, order_by: str = "match_score", limit: int | No
     return ordered if limit is None else page(ordered, limit, offset)
 
 
+def ordered_positions(keyed: DataFrame, order: Sequence[Column], path: str) -> DataFrame:
+    """Every row with its 1-based ``position`` in the given total order.
+
+    Rows are dealt out by range, sorted within their partition and stored under
+    ``path``; a position is the row's number there plus the sizes of the earlier
+    partitions, of which there is one row each.
+    """
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("*", F.spark_partition_id().alias("_part"), inside.alias("_row")).write.parquet(path)
+    rows = keyed.sparkSession.read.parquet(path)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(sizes.select("_part", before.alias("_before")), "_part")
+    return placed.withColumn("position", F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")
+
+
 def page(ordered: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """One page of an ordered result; past the end it is empty."""
     if not 1 <= limit <= MAX_PAGE:

@@ -22,9 +22,7 @@ from siftline.operators.rules import RuleSet
 from siftline.schema import LISTING, Criteria, Profile
 from siftline.sources import registry, sinks
 
-# The budgets of one run.
-VERIFY_LIMIT = 400
-SCORE_LIMIT = 200
+# Fixed value: listings of one prompt.
 BATCH_SIZE = 10
 
 
@@ -65,8 +63,8 @@ class Settings:
     profile: Profile
     ruleset: RuleSet
     criteria: Criteria
-    verify_limit: int | None = VERIFY_LIMIT
-    score_limit: int = SCORE_LIMIT
+    verify_limit: int | None = None
+    score_limit: int | None = None
     batch_size: int = BATCH_SIZE
 
 

@@ -198,16 +198,22 @@ def combine_verification(spark, sf):
     return verified.select("id", *_verdict("verification"))
 
 
-@query(
-    "verify_pending",
-    O.with_("SELECT id FROM scored WHERE doc_id % 3 <> 0 ORDER BY prescore DESC, id LIMIT 400", "scored"),
-)
-def verify_pending(spark, sf):
-    """Every third listing is verified already; the rest in listing order."""
+def _third_verified(spark, sf):
+    """Every third listing is verified already."""
     scored = ranking.prescore(L.curated(spark, sf), L.PROFILE, L.NOW)
     done = F.struct(F.lit("ok").alias("tier"), F.array().cast("array<string>").alias("reasons"), F.lit(None).cast("timestamp").alias("checked_at"), F.lit(200).alias("http_status"))
-    view = scored.withColumn("verification", F.when(F.col("doc_id") % 3 == 0, done))
-    return verification.verify_pending(view, 400).select("id")
+    return scored.withColumn("verification", F.when(F.col("doc_id") % 3 == 0, done))
+
+
+@query("verify_pending", O.with_("SELECT id FROM scored WHERE doc_id % 3 <> 0", "scored"))
+def verify_pending(spark, sf):
+    return verification.verify_pending(_third_verified(spark, sf)).select("id")
+
+
+@query("verify_pending_budget", O.with_("SELECT id FROM scored WHERE doc_id % 3 <> 0 ORDER BY prescore DESC, id LIMIT 400", "scored"))
+def verify_pending_budget(spark, sf):
+    """With a fetch budget: the first in listing order."""
+    return verification.verify_pending(_third_verified(spark, sf), 400).select("id")
 
 
 # --- ranking ---

@@ -36,7 +36,7 @@ _D = "SELECT doc_id, text, source AS origin, CAST(doc_id AS VARCHAR) AS n, doc_i
 _READABLE = "chunk % 7 NOT IN (3, 5)"
 _BOARD = "'board' || CAST(chunk % 5 AS VARCHAR)"
 _BIG = "(SELECT max(doc_id) FROM d WHERE doc_id % 3 = 0)"
-_BODY = "CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 50) WHEN 1 THEN NULL ELSE text END"
+_BODY = "CASE doc_id % 5 WHEN 1 THEN NULL ELSE text END"
 _FIRST = f"list_filter(list_transform(string_split({O.strip('text')}, chr(10)), lambda x: {O.strip('x')}), lambda x: x <> '')[1]"
 
 EXPECTED = {
@@ -94,9 +94,9 @@ for _name in EXPECTED:
     _reader(_name)
 
 
-@query("split_headline", O.with_("SELECT doc_id, CASE WHEN strpos(h, ':') > 0 AND trim(substr(h, strpos(h, ':') + 1)) <> '' THEN nullif(trim(split_part(h, ':', 1)), '') END AS company, CASE WHEN strpos(h, ':') > 0 AND trim(substr(h, strpos(h, ':') + 1)) <> '' THEN trim(substr(h, strpos(h, ':') + 1)) ELSE h END AS title FROM h", h="SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || ': ' || substr(text, 1, 20) WHEN 1 THEN source ELSE source || ':  ' END AS h FROM (SELECT doc_id, source, replace(text, chr(10), ' ') AS text FROM documents)"))
+@query("split_headline", O.with_("SELECT doc_id, CASE WHEN strpos(h, ':') > 0 AND trim(substr(h, strpos(h, ':') + 1)) <> '' THEN nullif(trim(split_part(h, ':', 1)), '') END AS company, CASE WHEN strpos(h, ':') > 0 AND trim(substr(h, strpos(h, ':') + 1)) <> '' THEN trim(substr(h, strpos(h, ':') + 1)) ELSE h END AS title FROM h", h="SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || ': ' || text WHEN 1 THEN source ELSE source || ':  ' END AS h FROM (SELECT doc_id, source, replace(text, chr(10), ' ') AS text FROM documents)"))
 def split_headline(spark, sf):
-    body = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 20)
+    body = F.replace("text", F.lit("\n"), F.lit(" "))
     d = F.col("doc_id") % 4
     headline = F.when(d == 0, F.concat("source", F.lit(": "), body)).when(d == 1, F.col("source")).otherwise(F.concat("source", F.lit(":  ")))
     company, title = feeds.split_headline(headline)

@@ -41,27 +41,39 @@ _BATCHED = (
 )
 
 
-@query("scoring_requests", O.with_(f"SELECT id AS job_id, title, company, location_text, md5(substr(description, 1, {S.REQUEST_CHARS})) AS digest FROM listings", "listings"))
+@query("scoring_requests", O.with_(f"SELECT id AS job_id, title, company, location_text, md5(description) AS digest FROM listings", "listings"))
 def scoring_requests(spark, sf):
     rows = S.scoring_requests(L.listings(spark, sf))
     return rows.select("job_id", "title", "company", "location_text", F.md5("description").alias("digest"))
 
 
+@query("scoring_requests_limited", O.with_("SELECT id AS job_id, md5(substr(description, 1, 6000)) AS digest FROM listings", "listings"))
+def scoring_requests_limited(spark, sf):
+    return S.scoring_requests(L.listings(spark, sf), chars=6000).select("job_id", F.md5("description").alias("digest"))
+
+
 @query("assign_batches", O.with_(f"SELECT id, batch_id, batch_index FROM ({_BATCHED})", "scored"))
 def assign_batches(spark, sf):
     return _batched(spark, sf).select("id", "batch_id", "batch_index")
 
 
-_BLOCK = (
+_HEAD = (
     "'### ' || CAST(batch_index AS VARCHAR) || '. ' || title || chr(10) || 'Company: ' || coalesce(company, 'unknown') || chr(10) || "
     "'Location: ' || coalesce(location_text, 'unspecified') || chr(10) || 'Description:' || chr(10) || "
-    f"CASE WHEN length(body) > {S.PROMPT_CHARS} THEN substr(body, 1, {S.PROMPT_CHARS}) || chr(10) || '[truncated]' WHEN body = '' THEN {O.q(S.NO_DESCRIPTION)} ELSE body END"
 )
+_WHOLE = f"CASE WHEN body = '' THEN {O.q(S.NO_DESCRIPTION)} ELSE body END"
+_CUT = f"CASE WHEN length(body) > 4000 THEN substr(body, 1, 4000) || chr(10) || '[truncated]' WHEN body = '' THEN {O.q(S.NO_DESCRIPTION)} ELSE body END"
 _TEMPLATE = S.DEFAULT_TEMPLATE.replace("{{profile}}", L.PROFILE.resume_text)
-_PROMPTS = (
-    f"SELECT batch_id, replace({O.q(_TEMPLATE)}, '{{{{jobs}}}}', string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY batch_index)) AS prompt "
-    f"FROM (SELECT *, {O.strip('description')} AS body FROM ({_BATCHED})) GROUP BY batch_id"
-)
+
+
+def _prompts_sql(description: str) -> str:
+    return (
+        f"SELECT batch_id, replace({O.q(_TEMPLATE)}, '{{{{jobs}}}}', string_agg({_HEAD}{description}, chr(10) || chr(10) ORDER BY batch_index)) AS prompt "
+        f"FROM (SELECT *, {O.strip('description')} AS body FROM ({_BATCHED})) GROUP BY batch_id"
+    )
+
+
+_PROMPTS = _prompts_sql(_WHOLE)
 
 
 @query("render_prompt", O.with_(f"SELECT batch_id, md5(prompt) AS digest, length(prompt) AS n_chars FROM ({_PROMPTS})", "scored"))
@@ -71,13 +83,19 @@ def render_prompt(spark, sf):
     return prompts.select("batch_id", F.md5("prompt").alias("digest"), F.length("prompt").cast("bigint").alias("n_chars"))
 
 
+@query("render_prompt_limited", O.with_(f"SELECT batch_id, md5(prompt) AS digest FROM ({_prompts_sql(_CUT)})", "scored"))
+def render_prompt_limited(spark, sf):
+    wide = _scored(spark, sf).select("id", "title", "company", "description", "location_text", "prescore")
+    return S.render_prompt(S.assign_batches(wide, SIZE), L.PROFILE.resume_text, chars=4000).select("batch_id", F.md5("prompt").alias("digest"))
+
+
 @query(
     "sink_prompt_batches",
-    O.with_(f"SELECT batch_id, length(prompt) - length(replace(prompt, chr(10), '')) AS n_lines FROM ({_PROMPTS}) WHERE batch_id < 20", "scored"),
+    O.with_(f"SELECT batch_id, length(prompt) - length(replace(prompt, chr(10), '')) AS n_lines FROM ({_PROMPTS})", "scored"),
 )
 def sink_prompt_batches(spark, sf):
-    """The run's batches as files, read back line by line."""
-    best = ranking.topk_pending(_scored(spark, sf), 200).select("id", "title", "company", "description", "location_text", "prescore")
+    """All batches as files, read back line by line."""
+    best = ranking.topk_pending(_scored(spark, sf), None).select("id", "title", "company", "description", "location_text", "prescore")
     path = scratch_dir(spark)
     sinks.sink_prompt_batches(S.render_prompt(S.assign_batches(best, SIZE), L.PROFILE.resume_text), path)
     lines = spark.read.text(path)

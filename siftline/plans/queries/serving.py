@@ -10,6 +10,7 @@ from siftline.operators.normalise import normalise
 from siftline.plans import listing_data as L
 from siftline.plans import oracle as O
 from siftline.plans.registry import query
+from siftline.plans.scratch import scratch_dir
 
 _MATCH = "struct<score:int,reason:string,gaps:array<string>,provider:string,scored_at:timestamp>"
 
@@ -70,12 +71,10 @@ def list_jobs_pending(spark, sf):
 
 
 def _ordered(order: str) -> None:
-    @query(f"order_{order}", _sql(f"SELECT id, row_number() OVER (ORDER BY {_ORDER[order]}) AS position FROM served ORDER BY position LIMIT 100"))
+    @query(f"order_{order}", _sql(f"SELECT id, row_number() OVER (ORDER BY {_ORDER[order]}) AS position FROM served"))
     def run(spark, sf):
-        top = V.list_jobs(served(spark, sf).drop("description"), order_by=order, limit=100)
-        # Positions within one page of at most 100 rows.
-        numbered = top.groupBy().agg(F.collect_list(F.struct(*[c for c in ("id",)])).alias("rows"))
-        return numbered.select(F.posexplode("rows").alias("at", "row")).select("row.id", (F.col("at") + 1).cast("bigint").alias("position"))
+        keyed = served(spark, sf).select("id", "match", "prescore", "posted_at", "last_seen_at")
+        return V.ordered_positions(keyed, V.order_columns(order), scratch_dir(spark)).select("id", "position")
 
 
 for _name in _ORDER:
@@ -89,7 +88,9 @@ def page(spark, sf):
 
 @query("page_beyond_end", _sql("SELECT id FROM served WHERE false"))
 def page_beyond_end(spark, sf):
-    return V.list_jobs(served(spark, sf), limit=50, offset=10_000_000).select("id")
+    """An offset of as many rows as there are leaves nothing."""
+    view = served(spark, sf)
+    return V.list_jobs(view, limit=50, offset=L.listings(spark, sf).count()).select("id")
 
 
 @query("page_after", _sql(f"SELECT id, prescore FROM served WHERE prescore < 0.5 OR prescore IS NULL OR (prescore = 0.5 AND id > '8') ORDER BY {_ORDER['prescore']} LIMIT 50"))
@@ -109,9 +110,10 @@ _SORTS = {
 def _sorted(column: str) -> None:
     key, descending = _SORTS[column]
 
-    @query(f"column_sort_{column}", _sql(f"SELECT id FROM served ORDER BY {key} {'DESC' if descending else 'ASC'}, id LIMIT 100"))
+    @query(f"column_sort_{column}", _sql(f"SELECT id, row_number() OVER (ORDER BY {key} {'DESC' if descending else 'ASC'}, id) AS position FROM served"))
     def run(spark, sf):
-        return V.page(V.column_sort(served(spark, sf).drop("description"), column, descending), 100).select("id")
+        keyed = served(spark, sf).select("id", "match", "prescore", "title", "company", "source", "posted_at")
+        return V.ordered_positions(keyed, V.sort_columns(column, descending), scratch_dir(spark)).select("id", "position")
 
 
 for _name in _SORTS:
@@ -122,10 +124,8 @@ for _name in _SORTS:
 def get_job(spark, sf):
     """Looked up by exact id: the smallest one present."""
     view = served(spark, sf)
-    smallest = L.listings(spark, sf).agg(F.min("id").alias("id"))
-    # A single row by construction.
-    wanted = view.join(F.broadcast(smallest), "id", "left_semi")
-    return wanted.select("id", "title", "status", F.col("eligibility.eligibility").alias("verdict"))
+    smallest = L.listings(spark, sf).agg(F.min("id")).first()[0]
+    return V.get_job(view, smallest).select("id", "title", "status", F.col("eligibility.eligibility").alias("verdict"))
 
 
 _LIST = (
