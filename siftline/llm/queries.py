@@ -43,7 +43,8 @@ def vocabulary(name: str) -> str:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_root(spark)
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
-    return token_files.id_digests(token_files.read_token_files(spark, path))
+    # Digests first: the ids stay where they are read.
+    return token_files.with_starts(token_files.id_digests(token_files.read_token_files(spark, path)), path)
 
 
 @query("op10_packing")

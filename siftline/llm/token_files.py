@@ -75,16 +75,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with ``start``: how many ids all earlier documents have.
+    """The files' rows as written."""
+    return spark.read.schema(FILE_SCHEMA).parquet(path)
 
-    Lengths are summed per partition from the length column alone; only those
-    sums, one row for each written partition, are put in order.
+
+def with_starts(rows: DataFrame, path: str) -> DataFrame:
+    """Add ``start``: how many ids all earlier documents have.
+
+    ``rows`` are those of the files, with any columns beside ``part`` and
+    ``within``. Lengths are summed per partition from the length column alone;
+    only those sums, one row for each written partition, are put in order.
     """
-    rows = spark.read.schema(FILE_SCHEMA).parquet(path)
-    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
+    sums = read_token_files(rows.sparkSession, path).groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.join(sums.select("part", before.alias("before")), "part")
-    return placed.select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")
+    return placed.withColumn("start", F.col("before") + F.col("within")).drop("part", "before", "within")
 
 
 def id_digests(rows: DataFrame) -> DataFrame:
