@@ -88,10 +88,19 @@ class Encoder:
             self.ends.append(len(self.ids))
         self.index.new = []
 
+    @staticmethod
+    def _odd(text: str) -> bool:
+        """Whether Python would also split at white space beyond ASCII's."""
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return True
+        return any(c in text for c in _OTHER_SPACE[4:])
+
     def _parts(self, text: str) -> list[str]:
         if self.words_only:
             # Only ASCII white space is a split here; the rest is the model's affair.
-            return text.split() if text.isascii() and not any(c in text for c in _OTHER_SPACE[4:8]) else re.split(r"[ \t-\r]+", text)
+            return re.split(r"[ \t-\r]+", text) if self._odd(text) else text.split()
         try:
             text.isascii() or text.encode("latin-1")
             apart = not any(s in text for s in _JOINED) and not any(c in text for c in _OTHER_SPACE)
