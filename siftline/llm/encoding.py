@@ -62,6 +62,8 @@ class Encoder:
 
     def _clear(self) -> None:
         self.index, self.ids, self.ends = _Index(), array("I"), array("q", [0])
+        #: A word and the same word before a comma share their merge.
+        self.pieces: dict[str, list[int]] = {}
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -78,8 +80,11 @@ class Encoder:
         pieces = _WORDS_ONLY.findall(part.lower()) if self.words_only else _WITH_BLANK.findall(part)
         letters, found = byte_letters(), []
         for piece in pieces:
-            plain = piece.isascii() and " " not in piece and piece.isprintable()
-            found += [t.id for t in self.model.tokenize(piece if plain else "".join([letters[b] for b in piece.encode()]))]
+            ids = self.pieces.get(piece)
+            if ids is None:
+                plain = piece.isascii() and " " not in piece and piece.isprintable()
+                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece if plain else "".join([letters[b] for b in piece.encode()]))]
+            found += ids
         return found
 
     def _learn(self) -> None:
@@ -116,7 +121,7 @@ class Encoder:
 
         A null is an empty text. There is one more start than there are texts.
         """
-        if len(self.index) > CACHE:
+        if len(self.index) > CACHE or len(self.pieces) > CACHE:
             self._clear()
         numbers, counts, known = array("i"), [0], self.index.__getitem__
         for text in texts:
