@@ -1,7 +1,7 @@
 """WARC archives written from, and read back as, a table of payload chunks.
 
 A payload is never handled whole outside its source row: it becomes rows of
-record, chunk number and at most ``CHUNK`` bytes, each carrying the SHA-1 and the
+record, chunk number and at most ``CHUNK`` bytes (stored compressed), each carrying the SHA-1 and the
 length of the payload up to and including that chunk. The last chunk of a record
 hence carries the payload's digest. Archives are written chunk by chunk, one
 gzip member per record, and read chunk by chunk.
@@ -37,9 +37,7 @@ from siftline.llm.storage import shared_root, stored
 #: Bytes of a chunk: also the most that one row carries between JVM and Python.
 CHUNK = 16 * 1024
 MIN_REVISIT = 1000
-#: Payload bytes aimed at for one archive.
-ARCHIVE_BYTES = 64 * 1024 * 1024
-CHUNK_SCHEMA = "record long, page_id long, url string, chunk_no int, data binary, seen_bytes long, seen_sha1 string, last boolean"
+CHUNK_SCHEMA = "record long, page_id long, url string, chunk_no int, n_bytes int, data binary, seen_bytes long, seen_sha1 string, last boolean"
 READ_SCHEMA = "record string, chunk_no int, n_bytes int, seen_sha1 string, last boolean, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -56,6 +54,7 @@ def chunk_table(pages: DataFrame, payload: str = "html") -> DataFrame:
     size = F.lit(CHUNK)
     chunks = numbered.select(
         "record", "page_id", "url", "chunk_no",
+        F.length(F.substring("raw", F.col("chunk_no") * size + 1, size)).alias("n_bytes"),
         F.substring("raw", F.col("chunk_no") * size + 1, size).alias("data"),
         ((F.col("chunk_no") + 1) * size >= F.length("raw")).alias("last"),
     )
@@ -63,7 +62,7 @@ def chunk_table(pages: DataFrame, payload: str = "html") -> DataFrame:
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running, seen = hashlib.sha1(), 0
         for batch in batches:
-            lengths, digests = [], []
+            lengths, digests, packed = [], [], []
             for number, data in zip(batch.column("chunk_no").to_pylist(), batch.column("data")):
                 if number == 0:
                     running, seen = hashlib.sha1(), 0
@@ -71,10 +70,11 @@ def chunk_table(pages: DataFrame, payload: str = "html") -> DataFrame:
                 seen += len(data.as_buffer())
                 lengths.append(seen)
                 digests.append(running.hexdigest())
-            columns = [batch.column(c) for c in ("record", "page_id", "url", "chunk_no", "data")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lengths, pa.int64()), pa.array(digests, pa.string()), batch.column("last")], names=[f.split()[0] for f in CHUNK_SCHEMA.split(", ")])
+                packed.append(pa.compress(data.as_buffer(), "zstd", asbytes=True))
+            columns = [batch.column(c) for c in ("record", "page_id", "url", "chunk_no", "n_bytes")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary()), pa.array(lengths, pa.int64()), pa.array(digests, pa.string()), batch.column("last")], names=[f.split()[0] for f in CHUNK_SCHEMA.split(", ")])
 
-    return stored(chunks.mapInArrow(digest, CHUNK_SCHEMA), compression="zstd")
+    return stored(chunks.mapInArrow(digest, CHUNK_SCHEMA), compression="none")
 
 
 def roles(chunks: DataFrame) -> DataFrame:
@@ -118,10 +118,10 @@ def write_archives(chunks: DataFrame, path: str) -> DataFrame:
     target, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     target.create_dir(root, recursive=True)
     decided = roles(chunks)
-    content = chunks.select("record", "chunk_no", "data", "last").join(decided, "record").filter("NOT revisit OR chunk_no = 0")
-    content = content.withColumn("data", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("data")))
-    size = chunks.filter("last").agg(F.coalesce(F.sum("seen_bytes"), F.lit(0))).first()[0]
-    ordered = content.repartition(int(size // ARCHIVE_BYTES) + 1, "record").sortWithinPartitions("record", "chunk_no")
+    # Dealt out by record before the join, which then moves only the decisions.
+    dealt = chunks.select("record", "chunk_no", "n_bytes", "data", "last").repartition("record")
+    content = dealt.join(decided, "record").filter("NOT revisit OR chunk_no = 0")
+    ordered = content.withColumn("data", F.when(~F.col("revisit"), F.col("data"))).sortWithinPartitions("record", "chunk_no")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -135,7 +135,8 @@ def write_archives(chunks: DataFrame, path: str) -> DataFrame:
                 if row["chunk_no"] == 0:
                     member = zlib.compressobj(6, zlib.DEFLATED, 31)
                     out.write(member.compress(_head(row)))
-                out.write(member.compress(row["data"]))
+                if not row["revisit"]:
+                    out.write(member.compress(pa.decompress(row["data"], row["n_bytes"], "zstd", asbytes=True)))
                 if row["last"] or row["revisit"]:
                     out.write(member.compress(b"\r\n\r\n") + member.flush())
         if out:
