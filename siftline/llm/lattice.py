@@ -7,7 +7,11 @@ has the probability
     (max(c - d, 0) + d * types * L(word)) / N
 
 where L sums over all segmentations of the word into the pieces of a public
-vocabulary. The seen word is one more path of that lattice. Piece scores start
+vocabulary. The seen word is one more path of that lattice, and so is a word that
+repeats: within a document, k earlier uses among i words give it the probability
+(k + K * p) / (i + K), and the same once more behind the word before it. A
+document's marginal also sums over the weights ``REPEATS`` of these paths, each
+as likely beforehand; one of them is never to repeat. Piece scores start
 from the vocabulary's own order and are refined by expectation maximisation over
 all distinct training words. Letters without a piece cost their bytes. Summed
 over all words the probabilities are at most one.
@@ -39,6 +43,11 @@ from siftline.llm.storage import fold, stored, text_or_empty
 CHUNK_BYTES = 32_000_000
 LONGEST = 16
 ROUNDS = 2
+#: Weights K of a word's score against its repeats, alone and behind a word
+#: (None: there only the repeats alone count).
+REPEATS = [(k, behind) for k in (300.0, 1000.0, 3000.0, 10000.0) for behind in (None, 2.0, 10.0, 50.0)]
+#: Tokens of texts handled at once; a longer text is handled alone.
+BLOCK_TOKENS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_SCHEMA = "chunk long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<binary>, counts array<long>"
 
@@ -153,6 +162,49 @@ def batches_of(words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
             yield [k for k, _ in part], np.frombuffer(joined, np.uint32).reshape(-1, n).astype(np.uint64)
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place how often its key came before, and a number of its key."""
+    order = np.argsort(keys, kind="stable")
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[order][1:] != keys[order][:-1]
+    group = np.cumsum(first) - 1
+    earlier, number = np.empty((2, len(keys)), np.int64)
+    earlier[order] = np.arange(len(keys)) - np.flatnonzero(first)[group]
+    number[order] = group
+    return earlier, number
+
+
+def text_scores(tokens: np.ndarray, lengths: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Log10 probability of each text, all of one token at least, over the paths
+    of repeats; ``logs`` holds the scores of the words that ``tokens`` number."""
+    starts = np.cumsum(lengths) - lengths
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(tokens)) - starts[text]
+    alone = 10.0 ** logs[tokens]
+    used, _ = ranked(text * len(logs) + tokens)
+    before = np.where(place > 0, tokens[np.arange(len(tokens)) - 1], len(logs))
+    behind, context = ranked(text * (len(logs) + 1) + before)
+    again, _ = ranked(context * len(logs) + tokens)
+    paths = [np.add.reduceat(logs[tokens], starts)]
+    for weight, second in REPEATS:
+        if second is None:
+            once = (used + weight * alone) / (place + weight)
+        p = once if second is None else (again + second * once) / (behind + second)
+        paths.append(np.add.reduceat(np.log10(np.maximum(p, 1e-300)), starts))
+    top = np.max(paths, axis=0)
+    return top + np.log10(np.mean(10.0 ** (np.array(paths) - top), axis=0))
+
+
+def blocks_of(lengths: np.ndarray) -> Iterator[slice]:
+    """Runs of texts of at most ``BLOCK_TOKENS`` tokens, or of one text."""
+    ends, start = np.cumsum(lengths), 0
+    while start < len(lengths):
+        base = ends[start] - lengths[start]
+        stop = max(int(np.searchsorted(ends, base + BLOCK_TOKENS, side="right")), start + 1)
+        yield slice(start, stop)
+        start = stop
+
+
 def chunk_table(docs: DataFrame, held_out: Column) -> DataFrame:
     """The texts as numbers of the chunk's distinct words (stored)."""
 
@@ -259,16 +311,22 @@ def score_texts(docs: DataFrame, path: str, held_out: Column) -> DataFrame:
         order = np.argsort(stats.column("pos").to_numpy())
         starts = np.concatenate([[0], np.cumsum(lengths)])
         sums = {}
-        for name in ("known", "base", "log"):
+        for name in ("known", "base"):
             values = stats.column(name).to_numpy()[order].astype(float)
             # Summed per text, so that one text's rounding is not another's.
             padded = np.append(values[tokens], 0.0)
             sums[name] = np.where(lengths > 0, np.add.reduceat(padded, starts[:-1]), 0.0) if len(lengths) else np.zeros(0)
+        logs = np.append(stats.column("log").to_numpy()[order], end_log)
+        score = [np.zeros(0)]
+        for part in blocks_of(lengths + 1):
+            inside = tokens[starts[part.start] : starts[part.stop]]
+            ended = np.insert(inside.astype(np.int64), np.cumsum(lengths[part]), len(logs) - 1)
+            score.append(text_scores(ended, lengths[part] + 1, logs))
         n = len(lengths)
         return pa.table({
             "doc_id": column("ids").flatten(), "held_out": column("held").flatten(), "n_tokens": lengths + 1,
             "n_known": np.rint(sums["known"]).astype(np.int64) + (1 if ends else 0), "train_tokens": np.full(n, total, np.int64),
-            "base_score": sums["base"] + end_base, "score": sums["log"] + end_log,
+            "base_score": sums["base"] + end_base, "score": np.concatenate(score),
         })
 
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
