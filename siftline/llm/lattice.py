@@ -11,14 +11,20 @@ vocabulary. The seen word is one more path of that lattice, and so is a word tha
 repeats: within a document, k earlier uses among i words give it the probability
 (k + K * p) / (i + K), and the same once more behind the word before it. A
 document's marginal also sums over the weights ``REPEATS`` of these paths, each
-as likely beforehand; one of them is never to repeat. Piece scores start
+as likely beforehand; one of them is never to repeat.
+
+A text is also cut into phrases, each up to a word whose hash says so, ``PHRASE``
+words or the end. Phrases seen in training are discounted in the same way, and
+the discount's mass goes to the phrase spelled out in words: one more level of
+the lattice, which carries passages that documents share. Phrases are told apart
+by 64 bits of their words' hashes. Piece scores start
 from the vocabulary's own order and are refined by expectation maximisation over
 all distinct training words. Letters without a piece cost their bytes. Summed
 over all words the probabilities are at most one.
 
 Texts are read once. Each partition becomes chunks: the distinct words with
-their training counts, and the texts as numbers of those words. Only distinct
-words per chunk are shuffled; counts come back to the chunk they are needed in.
+their training counts, the same of phrases, and the texts as numbers of both.
+Only distinct words and phrases per chunk are shuffled; counts come back to the chunk they are needed in.
 No table of words is ever broadcast or collected.
 
 Null texts are empty and hold the end alone. Null ids are in the fold of the
@@ -34,7 +40,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from siftline.llm.storage import fold, stored, text_or_empty
@@ -48,8 +55,10 @@ ROUNDS = 2
 REPEATS = [(k, behind) for k in (300.0, 1000.0, 3000.0, 10000.0) for behind in (None, 2.0, 10.0, 50.0)]
 #: Tokens of texts handled at once; a longer text is handled alone.
 BLOCK_TOKENS = 500_000
+#: Most words of a phrase, and the share of words (one in so many) that end one.
+PHRASE, ENDING = 16, 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_SCHEMA = "chunk long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<binary>, counts array<long>"
+CHUNK_SCHEMA = "chunk long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<binary>, counts array<long>, spans binary, sizes binary, phrases array<long>, uses array<long>"
 
 
 @lru_cache(maxsize=2)
@@ -174,9 +183,38 @@ def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return earlier, number
 
 
-def text_scores(tokens: np.ndarray, lengths: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """Log10 probability of each text, all of one token at least, over the paths
-    of repeats; ``logs`` holds the scores of the words that ``tokens`` number."""
+def with_ends(tokens: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    return np.insert(tokens.astype(np.int64), np.cumsum(lengths), end)
+
+
+def phrases_of(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and sizes of the phrases of texts, which hold their ends."""
+    hashed = hashes[tokens]
+    last = hashed % np.uint64(ENDING) == 0
+    last[np.cumsum(lengths) - 1] = True
+    stops = np.flatnonzero(last) + 1
+    runs = np.diff(stops, prepend=0)
+    parts = -(-runs // PHRASE)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    sizes = np.minimum(np.repeat(runs, parts) - nth * PHRASE, PHRASE)
+    starts = np.cumsum(sizes) - sizes
+    powers = np.cumprod(np.full(PHRASE, _MIX))
+    mixed = np.add.reduceat(hashed * powers[np.arange(len(tokens)) - np.repeat(starts, sizes)], starts)
+    return (mixed ^ (mixed >> np.uint64(31))).view(np.int64), sizes
+
+
+def either(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log10 of the sum of two probabilities; ``a`` may be zero."""
+    return np.maximum(a, b) + np.log10(1 + 10.0 ** -np.abs(a - b))
+
+
+def text_scores(tokens: np.ndarray, lengths: np.ndarray, logs: np.ndarray, sizes: np.ndarray, copied: np.ndarray, spelled: float) -> np.ndarray:
+    """Log10 probability of each text, its end included, over all paths.
+
+    ``logs`` holds the scores of the words that ``tokens`` number, ``sizes`` and
+    ``copied`` the words of each phrase and its score as a whole, ``spelled`` that
+    of spelling a phrase out.
+    """
     starts = np.cumsum(lengths) - lengths
     text = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(tokens)) - starts[text]
@@ -185,12 +223,18 @@ def text_scores(tokens: np.ndarray, lengths: np.ndarray, logs: np.ndarray) -> np
     before = np.where(place > 0, tokens[np.arange(len(tokens)) - 1], len(logs))
     behind, context = ranked(text * (len(logs) + 1) + before)
     again, _ = ranked(context * len(logs) + tokens)
-    paths = [np.add.reduceat(logs[tokens], starts)]
+    phrase = np.cumsum(sizes) - sizes
+    first = np.searchsorted(phrase, starts)
+
+    def total(scores: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(either(copied, spelled + np.add.reduceat(scores, phrase)), first)
+
+    paths = [total(logs[tokens])]
     for weight, second in REPEATS:
         if second is None:
             once = (used + weight * alone) / (place + weight)
         p = once if second is None else (again + second * once) / (behind + second)
-        paths.append(np.add.reduceat(np.log10(np.maximum(p, 1e-300)), starts))
+        paths.append(total(np.log10(np.maximum(p, 1e-300))))
     top = np.max(paths, axis=0)
     return top + np.log10(np.mean(10.0 ** (np.array(paths) - top), axis=0))
 
@@ -211,7 +255,10 @@ def chunk_table(docs: DataFrame, held_out: Column) -> DataFrame:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
+        from xxhash import xxh64_intdigest
+
+        longs = pa.list_(pa.int64())
+        schema = pa.schema([("chunk", pa.int64()), ("ids", longs), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", longs), ("spans", pa.binary()), ("sizes", pa.binary()), ("phrases", longs), ("uses", longs)])
         number = TaskContext.get().partitionId() << 32
 
         def fresh():
@@ -223,8 +270,21 @@ def chunk_table(docs: DataFrame, held_out: Column) -> DataFrame:
             tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             training = np.repeat(~np.array(held, bool), lengths)
             counts = np.bincount(tokens[training], minlength=len(index))
-            packed = pa.compress(tokens.tobytes(), "zstd", asbytes=True) if len(tokens) else b""
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((number, ids, held, lengths, packed, list(index), counts), schema)], schema=schema)
+            hashes = np.array([xxh64_intdigest(w) for w in index] + [0], np.uint64)
+            n, out, ends = np.array(lengths), np.array(held, bool), np.cumsum(lengths)
+            hashed, sizes, learnt = [], [], []
+            for part in blocks_of(n + 1):
+                texts = with_ends(tokens[ends[part.start] - n[part.start] : ends[part.stop - 1]], n[part], len(index))
+                found, words_in = phrases_of(texts, n[part] + 1, hashes)
+                owner = np.searchsorted(np.cumsum(n[part] + 1), np.cumsum(words_in))
+                hashed.append(found)
+                sizes.append(words_in.astype(np.uint8))
+                learnt.append(~out[part][owner])
+            phrases, spans = np.unique(np.concatenate(hashed), return_inverse=True)
+            uses = np.bincount(spans[np.concatenate(learnt)], minlength=len(phrases))
+            packed = [pa.compress(x.tobytes(), "zstd", asbytes=True) if len(x) else b"" for x in (tokens, spans.astype(np.int32), np.concatenate(sizes))]
+            values = (number, ids, held, lengths, packed[0], list(index), counts, packed[1], packed[2], phrases, uses)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
         index, ids, held, lengths, parts, size = fresh()
         for batch in batches:
@@ -271,18 +331,33 @@ def piece_scores(words: DataFrame, path: str) -> np.ndarray:
     return scores
 
 
+def tally(counted: DataFrame) -> tuple[Row, float]:
+    """Uses and types in training, and the discount from types used once or twice."""
+    c = F.col("c")
+    t = counted.agg(F.coalesce(F.sum(c), F.lit(0)).alias("n"), F.count_if(c > 0).alias("types"), F.count_if(c == 1).alias("once"), F.count_if(c == 2).alias("twice")).first()
+    return t, min(max(t["once"] / (t["once"] + 2 * t["twice"]), 0.1), 0.9) if t["once"] else 0.1
+
+
+def unpacked(column: pa.Array, kind: type) -> np.ndarray:
+    """Numbers of a compressed binary cell."""
+    raw = column[0].as_py()
+    return np.frombuffer(zstandard.decompress(raw), kind) if raw else np.zeros(0, kind)
+
+
 def score_texts(docs: DataFrame, path: str, held_out: Column) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     spark = docs.sparkSession
     chunks = chunk_table(docs, held_out)
     places = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("chunk", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     words = stored(places.groupBy("word").agg(F.sum("n").alias("c")))
-    known = F.count_if(F.col("c") > 0)
-    t = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), known.alias("types"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    t, discount = tally(words)
     ends = chunks.select(F.explode("held").alias("h")).agg(F.count_if(~F.col("h"))).first()[0]
     total = t["n"] + ends
     types = t["types"] + (1 if ends else 0)
-    discount = min(max(t["once"] / (t["once"] + 2 * t["twice"]), 0.1), 0.9) if t["once"] else 0.1
+    spans = chunks.select("chunk", F.posexplode(F.arrays_zip("phrases", "uses")).alias("pos", "p")).select("chunk", "pos", F.col("p.phrases").alias("phrase"), F.col("p.uses").alias("n"))
+    phrases = stored(spans.groupBy("phrase").agg(F.sum("n").alias("c")))
+    p, left = tally(phrases)
+    spelled = float(np.log10(left * p["types"] / p["n"])) if p["n"] else 0.0
     shared = spark.sparkContext.broadcast(piece_scores(words.filter("c > 0"), path))
 
     def marginals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,15 +374,25 @@ def score_texts(docs: DataFrame, path: str, held_out: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c > 0), pa.array(base), pa.array(logs)], names=["word", "known", "base", "log"])
 
     scored = words.mapInArrow(marginals, "word binary, known boolean, base double, log double")
-    back = places.select("chunk", "pos", "word").join(scored, "word").select("chunk", "pos", "known", "base", "log")
+    back = places.select("chunk", "pos", "word").join(scored, "word").select("chunk", "pos", "known", "base", "log", F.lit(False).alias("phrase"))
+    # Phrases of training alone have a score; the others are only spelled out.
+    whole = phrases.filter(F.col("c") > left).select("phrase", F.log10((F.col("c") - left) / max(p["n"], 1)).alias("log"))
+    copied = spans.select("chunk", "pos", "phrase").join(whole, "phrase").select("chunk", "pos", F.lit(None).cast("boolean").alias("known"), F.lit(None).cast("double").alias("base"), "log", F.lit(True).alias("phrase"))
+    back = back.unionByName(copied)
     end_base = float(np.log10((ends + 1) / (total + types + 1)))
     end_log = float(np.log10(ends / total)) if ends else float(np.log10(0.5))
 
     def documents(chunk: pa.Table, stats: pa.Table) -> pa.Table:
         column = lambda name: chunk.column(name).combine_chunks()
         lengths = np.array(column("lengths")[0].as_py() or [], dtype=np.int64)
-        raw = column("tokens")[0].as_py()
-        tokens = np.frombuffer(pa.decompress(raw, int(lengths.sum()) * 4, "zstd", asbytes=True), np.int32) if raw else np.zeros(0, np.int32)
+        tokens = unpacked(column("tokens"), np.int32)
+        stretches, sizes = unpacked(column("spans"), np.int32), unpacked(column("sizes"), np.uint8).astype(np.int64)
+        whole = stats.column("phrase").to_numpy()
+        found = stats.filter(pa.array(whole))
+        as_one = np.full(int(stretches.max(initial=-1)) + 1, -np.inf)
+        as_one[found.column("pos").to_numpy()] = found.column("log").to_numpy()
+        as_one, phrase_ends = as_one[stretches], np.cumsum(sizes)
+        stats = stats.filter(pa.array(~whole))
         order = np.argsort(stats.column("pos").to_numpy())
         starts = np.concatenate([[0], np.cumsum(lengths)])
         sums = {}
@@ -319,9 +404,9 @@ def score_texts(docs: DataFrame, path: str, held_out: Column) -> DataFrame:
         logs = np.append(stats.column("log").to_numpy()[order], end_log)
         score = [np.zeros(0)]
         for part in blocks_of(lengths + 1):
-            inside = tokens[starts[part.start] : starts[part.stop]]
-            ended = np.insert(inside.astype(np.int64), np.cumsum(lengths[part]), len(logs) - 1)
-            score.append(text_scores(ended, lengths[part] + 1, logs))
+            texts = with_ends(tokens[starts[part.start] : starts[part.stop]], lengths[part], len(logs) - 1)
+            a, b = np.searchsorted(phrase_ends, (starts + np.arange(len(starts)))[[part.start, part.stop]], side="right")
+            score.append(text_scores(texts, lengths[part] + 1, logs, sizes[a:b], as_one[a:b], spelled))
         n = len(lengths)
         return pa.table({
             "doc_id": column("ids").flatten(), "held_out": column("held").flatten(), "n_tokens": lengths + 1,
@@ -330,7 +415,7 @@ def score_texts(docs: DataFrame, path: str, held_out: Column) -> DataFrame:
         })
 
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    texts = chunks.select(F.col("chunk").alias("of"), "ids", "held", "lengths", "tokens")
+    texts = chunks.select(F.col("chunk").alias("of"), "ids", "held", "lengths", "tokens", "spans", "sizes")
     return texts.groupBy("of").cogroup(back.groupBy("chunk")).applyInArrow(documents, fields)
 
 

@@ -213,9 +213,54 @@ def test_lattice_scores(spark, docs):
         want[i, held(i), len(tokens), sum(counts[w] > 0 for w in tokens), n, round(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in tokens), 4)] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in rows) == want
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    assert len({r["score"] for r in rows if r["n_tokens"] == 1}) == 1
     assert lattice.score_texts(docs.limit(0), vocabulary("piece_bpe_32k.model"), lattice.seventh()).count() == 0
 
 
+def test_lattice_paths_of_repeats_and_phrases():
+    """Token by token, phrase by phrase, against the array form."""
+    rng = np.random.default_rng(3)
+    hashes = np.append(rng.integers(0, 2**63, 12).astype(np.uint64), np.uint64(0))
+    lengths = np.array([1, 40, 7, 1, 90])
+    tokens = np.concatenate([np.append(rng.integers(0, 12, n - 1) // rng.integers(1, 4), 12) for n in lengths])
+    logs = np.log10(np.full(13, 1 / 20))
+    spelled, seen = -0.2, {}
+    found, sizes = lattice.phrases_of(tokens, lengths, hashes)
+    texts, at = [], 0
+    for n in lengths:
+        cut, part = [[]], tokens[at : at + n].tolist()
+        for w in part:
+            cut[-1].append(w)
+            if hashes[w] % 8 == 0 or len(cut[-1]) == lattice.PHRASE:
+                cut.append([])
+        texts.append([c for c in cut if c])
+        at += n
+    flat = [tuple(c) for t in texts for c in t]
+    assert [len(c) for c in flat] == sizes.tolist() and len(set(flat)) == len(set(zip(flat, found)))
+    copied = np.array([seen.setdefault(c, -2.0 if len(seen) % 2 else -np.inf) for c in flat])
+    want = []
+    for t in texts:
+        ways = []
+        for k, second in [(None, None), *lattice.REPEATS]:
+            score, past, pairs, i = 0.0, Counter(), Counter(), 0
+            before, contexts = None, Counter()
+            for c in t:
+                words_in = 0.0
+                for w in c:
+                    p = 10 ** logs[w] if k is None else (past[w] + k * 10 ** logs[w]) / (i + k)
+                    if second is not None:
+                        p = (pairs[before, w] + second * p) / (contexts[before] + second)
+                    words_in += np.log10(p)
+                    past[w] += 1
+                    pairs[before, w] += 1
+                    contexts[before] += 1
+                    before, i = w, i + 1
+                score += np.log10(10 ** seen[tuple(c)] + 10 ** (spelled + words_in))
+            ways.append(10**score)
+        want.append(np.log10(np.mean(ways)))
+    assert np.allclose(lattice.text_scores(tokens, lengths, logs, sizes, copied, spelled), want)
+
+
 LABELS = "doc_id long, quality int, toxic int, text string"
 
 
