@@ -41,7 +41,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.storage import fold, stored, text_or_empty
@@ -355,8 +355,11 @@ def score_texts(docs: DataFrame, path: str, held_out: Column) -> DataFrame:
     total = t["n"] + ends
     types = t["types"] + (1 if ends else 0)
     spans = chunks.select("chunk", F.posexplode(F.arrays_zip("phrases", "uses")).alias("pos", "p")).select("chunk", "pos", F.col("p.phrases").alias("phrase"), F.col("p.uses").alias("n"))
-    phrases = stored(spans.groupBy("phrase").agg(F.sum("n").alias("c")))
-    p, left = tally(phrases)
+    # Sums come back to each chunk's row in the one shuffle that forms them.
+    same = Window.partitionBy("phrase")
+    first = F.row_number().over(same.orderBy("chunk")) == 1
+    spans = stored(spans.select("chunk", "pos", F.sum("n").over(same).alias("c"), first.alias("first")))
+    p, left = tally(spans.filter("first"))
     spelled = float(np.log10(left * p["types"] / p["n"])) if p["n"] else 0.0
     shared = spark.sparkContext.broadcast(piece_scores(words.filter("c > 0"), path))
 
@@ -376,8 +379,8 @@ def score_texts(docs: DataFrame, path: str, held_out: Column) -> DataFrame:
     scored = words.mapInArrow(marginals, "word binary, known boolean, base double, log double")
     back = places.select("chunk", "pos", "word").join(scored, "word").select("chunk", "pos", "known", "base", "log", F.lit(False).alias("phrase"))
     # Phrases of training alone have a score; the others are only spelled out.
-    whole = phrases.filter(F.col("c") > left).select("phrase", F.log10((F.col("c") - left) / max(p["n"], 1)).alias("log"))
-    copied = spans.select("chunk", "pos", "phrase").join(whole, "phrase").select("chunk", "pos", F.lit(None).cast("boolean").alias("known"), F.lit(None).cast("double").alias("base"), "log", F.lit(True).alias("phrase"))
+    whole = F.log10((F.col("c") - left) / max(p["n"], 1)).alias("log")
+    copied = spans.filter(F.col("c") > left).select("chunk", "pos", F.lit(None).cast("boolean").alias("known"), F.lit(None).cast("double").alias("base"), whole, F.lit(True).alias("phrase"))
     back = back.unionByName(copied)
     end_base = float(np.log10((ends + 1) / (total + types + 1)))
     end_log = float(np.log10(ends / total)) if ends else float(np.log10(0.5))
