@@ -36,7 +36,7 @@ def source_outcomes(configured: DataFrame, fetched: DataFrame, errors: DataFrame
     """
     counts = fetched.groupBy("source").agg(F.count("*").alias("fetched"))
     joined = configured.join(counts, "source", "left").join(errors.select("source", "error"), "source", "left")
-    rows = F.when(F.col("error").isNull(), F.coalesce("fetched", F.lit(0))).otherwise(F.lit(0))
+    rows = F.coalesce("fetched", F.lit(0))
     state = F.when(F.col("error").isNotNull(), F.lit("error")).when(rows == 0, F.lit("empty")).otherwise(F.lit("ok"))
     return joined.select("source", "source_priority", rows.cast("bigint").alias("fetched"), "error", state.alias("state"))
 

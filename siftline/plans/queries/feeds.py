@@ -214,10 +214,15 @@ def source_outcomes(spark, sf):
 
 @query(
     "source_registry",
-    O.with_(f"SELECT source, count(*) AS n FROM ({_COUNTED}) WHERE source IN ('remotive', 'lever', 'remoteok') GROUP BY source", d=_D),
+    O.with_(
+        f"SELECT source, count(*) AS n FROM ({_COUNTED}) WHERE source IN ('remotive', 'remoteok') GROUP BY source "
+        f"UNION ALL SELECT source, count(*) FROM ({EXPECTED['lever']}) WHERE company = 'board1' GROUP BY source",
+        d=_D,
+    ),
 )
 def source_registry(spark, sf):
-    """Chosen feeds only; a per-company feed without companies is left out."""
+    """Chosen feeds and configured boards only; a per-company feed without companies
+    is left out."""
     chosen = registry.build_sources(("remotive", "greenhouse", "lever", "remoteok"), {"lever": ["board1"], "greenhouse": [" "]})
     rows = registry.union_sources(D.all_payloads(spark, sf), chosen)
     return rows.groupBy("source").agg(F.count("*").alias("n"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -19,6 +19,12 @@ class Feed:
     read: Reader
     problems: Reader
     per_company: bool = False
+    #: Companies whose boards are read; empty: every landed payload.
+    companies: tuple[str, ...] = ()
+
+    def landed(self, payloads: DataFrame) -> DataFrame:
+        """Payloads of the configured companies; prunes ``company=`` folders."""
+        return payloads.filter(F.col("company").isin(*self.companies)) if self.companies else payloads
 
 
 REGISTRY: dict[str, Feed] = {
@@ -53,33 +59,33 @@ def build_sources(names: Iterable[str], companies: dict[str, Sequence[str]] | No
         if name not in REGISTRY:
             raise ValueError(f"unknown source {name!r}; available: {', '.join(available_sources())}")
         feed = REGISTRY[name]
-        if feed.per_company and not [c for c in (companies or {}).get(name, ()) if c.strip()]:
+        slugs = tuple(c.strip() for c in (companies or {}).get(name, ()) if c.strip())
+        if feed.per_company and not slugs:
             continue
-        chosen[name] = feed
+        chosen[name] = replace(feed, companies=slugs) if feed.per_company else feed
     return chosen
 
 
 def union_sources(payloads: DataFrame, sources: dict[str, Feed]) -> DataFrame:
     """Raw listings of all chosen feeds with their ``source_priority``."""
-    parts = [feed.read(payloads).withColumn("source_priority", F.lit(i)) for i, feed in enumerate(sources.values())]
+    parts = [feed.read(feed.landed(payloads)).withColumn("source_priority", F.lit(i)) for i, feed in enumerate(sources.values())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def source_problems(payloads: DataFrame, sources: dict[str, Feed]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), [feed.problems(payloads) for feed in sources.values()])
+    return reduce(lambda a, b: a.unionByName(b), [feed.problems(feed.landed(payloads)) for feed in sources.values()])
 
 
 def source_errors(problems: DataFrame, fetched: DataFrame) -> DataFrame:
-    """``(source, error)``: feeds that failed as a whole.
+    """``(source, error)``: feeds with failed payloads from which no row came.
 
-    A per-company feed fails only when a board failed and none gave a row; any
-    other feed fails with its payload.
+    One bad payload among others is a problem of its own, not of the feed.
     """
     per_company = [n for n, f in REGISTRY.items() if f.per_company]
     counts = fetched.groupBy("source").agg(F.count("*").alias("_rows"))
     failures = problems.groupBy("source").agg(F.count("*").alias("_failed"), F.min("problem").alias("_first"))
     isolated = F.col("source").isin(*per_company)
-    joined = failures.join(counts, "source", "left").filter(~isolated | F.col("_rows").isNull())
+    joined = failures.join(counts, "source", "left").filter(F.col("_rows").isNull())
     message = F.when(
         isolated, F.concat(F.lit("all "), F.col("_failed").cast("string"), F.lit(" configured boards failed: "), F.col("_first"))
     ).otherwise(F.col("_first"))

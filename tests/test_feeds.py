@@ -125,6 +125,20 @@ def test_failed_boards_are_isolated(spark, landed):
     }
 
 
+def test_only_configured_boards_and_a_bad_payload_among_good_ones(spark, landed):
+    board = lambda n: '{"jobs": [{"absolute_url": "https://g/%d"}]}' % n
+    chosen = registry.build_sources(["greenhouse", "remotive"], {"greenhouse": [" a "]})
+    payload = landed(
+        ("greenhouse", "a", board(1), None), ("greenhouse", "b", board(2), None), ("greenhouse", "c", None, "HTTP 500"),
+        ("remotive", None, '{"jobs":[{"url": "https://r/1"}]}', None), ("remotive", None, None, "HTTP 502"),
+    )
+    rows, problems = registry.union_sources(payload, chosen), registry.source_problems(payload, chosen)
+    assert sorted(r["url"] for r in rows.collect()) == ["https://g/1", "https://r/1"]
+    assert [r["source"] for r in problems.collect()] == ["remotive"]
+    out = source_outcomes(registry.configured(spark, chosen), rows, registry.source_errors(problems, rows))
+    assert {(r["source"], r["fetched"], r["state"]) for r in out.collect()} == {("greenhouse", 1, "ok"), ("remotive", 1, "ok")}
+
+
 def test_registry():
     assert len(registry.available_sources()) == 7
     with pytest.raises(ValueError):
