@@ -57,6 +57,8 @@ REPEATS = [(k, behind) for k in (300.0, 1000.0, 3000.0, 10000.0) for behind in (
 BLOCK_TOKENS = 500_000
 #: Most words of a phrase, and the share of words (one in so many) that end one.
 PHRASE, ENDING = 16, 8
+#: Size of the bit table that is asked before a piece is searched for.
+SLOT_BITS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_SCHEMA = "chunk long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<binary>, counts array<long>, spans binary, sizes binary, phrases array<long>, uses array<long>"
 
@@ -74,6 +76,10 @@ def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
     return pieces, np.log(weight / weight.sum())
 
 
+def slot_of(keys: np.ndarray) -> np.ndarray:
+    return (keys * _MIX) >> np.uint64(64 - SLOT_BITS)
+
+
 class Lattice:
     """Forward and backward recursions in log space over batches of words."""
 
@@ -90,7 +96,9 @@ class Lattice:
             for j in range(1, n):
                 keys = keys * _MIX + codes[:, j]
             order = np.argsort(keys)
-            self.tables[n] = (keys[order], np.array([k for k, _ in group])[order])
+            slots = np.zeros(1 << SLOT_BITS, bool)
+            slots[slot_of(keys)] = True
+            self.tables[n] = (keys[order], np.array([k for k, _ in group])[order], slots)
 
     def arcs(self, codes: np.ndarray) -> list[np.ndarray]:
         """For each length the piece at each position, ``none`` where there is none."""
@@ -101,10 +109,14 @@ class Lattice:
             if length not in self.tables:
                 found.append(np.full(keys.shape, self.none))
                 continue
-            known, ids = self.tables[length]
-            at = np.minimum(np.searchsorted(known, keys.ravel()), len(known) - 1)
-            hit = known[at] == keys.ravel()
-            found.append(np.where(hit, ids[at], self.none).reshape(keys.shape))
+            known, ids, slots = self.tables[length]
+            # Few stretches share a piece's slot; only those are searched for.
+            likely = np.flatnonzero(slots[slot_of(keys.ravel())])
+            sought = keys.ravel()[likely]
+            at = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+            pieces = np.full(keys.size, self.none)
+            pieces[likely] = np.where(known[at] == sought, ids[at], self.none)
+            found.append(pieces.reshape(keys.shape))
         found[0] = np.where(found[0] == self.none, self.bytes, found[0])
         return found
 
@@ -151,9 +163,9 @@ class Lattice:
             scored = self.weights(codes, arcs)
             alpha, beta = self.forward(scored), self.backward(scored)
             for k, (pieces, s) in enumerate(zip(arcs, scored), start=1):
-                n = s.shape[1]
-                share = np.exp(alpha[:n].T + s + beta[k : k + n].T - alpha[-1][:, None])
-                total += np.bincount(pieces.ravel(), share.ravel(), len(total))
+                row, at = np.nonzero(pieces != self.none)
+                share = np.exp(alpha[at, row] + s[row, at] + beta[at + k, row] - alpha[-1, row])
+                total += np.bincount(pieces[row, at], share, len(total))
         return total[: self.none]
 
 
