@@ -21,8 +21,7 @@ from siftline.operators.predicates import PREDICATES
 from siftline.operators.rules import Rule, RuleSet
 from siftline.schema import DIMENSION_VERDICT, ELIGIBILITY, ELIGIBILITY_VERDICT, SEARCHABLE_FIELDS, Profile
 
-# Evidence limit and the summary sentences.
-MATCHED_CHARS = 200
+# The summary sentences.
 NO_RESTRICTIONS = "No restrictions found"
 UNDETERMINED = "Could not determine eligibility from the listing"
 
@@ -49,7 +48,7 @@ def scope_fields(fields: Sequence[str]) -> Column:
     return join_fields([F.col(name) for name in fields])
 
 
-def _rule_verdict(rule: Rule, scopes: Scopes, profile: Profile, now: datetime) -> Column:
+def _rule_verdict(rule: Rule, scopes: Scopes, profile: Profile, now: datetime, matched_chars: int | None) -> Column:
     if rule.predicate is not None:
         matched = PREDICATES[rule.predicate](F.col(scopes[SEARCHABLE_FIELDS]), profile, now)
         field = rule.predicate
@@ -57,11 +56,12 @@ def _rule_verdict(rule: Rule, scopes: Scopes, profile: Profile, now: datetime) -
         matched = match_phrases(scopes[rule.fields], rule.any_phrase, rule.all_phrases)
         field = ",".join(rule.fields)
     evidence = "text" if rule.predicate is not None else sql_string(rule.evidence)
+    excerpt = "text" if matched_chars is None else f"substring(text, 1, {matched_chars})"
     verdict = F.expr(
         "text -> CASE WHEN text IS NOT NULL THEN named_struct("
         f"'dimension', {sql_string(rule.dimension)}, 'eligibility', {sql_string(rule.verdict)}, "
         f"'rule_id', {sql_string(rule.id)}, 'evidence', {evidence}, "
-        f"'matched_text', substring(text, 1, {MATCHED_CHARS}), 'source_field', {sql_string(field)}) END"
+        f"'matched_text', {excerpt}, 'source_field', {sql_string(field)}) END"
     )
     return F.get(F.call_function("transform", F.array(matched), verdict), F.lit(0))
 
@@ -93,14 +93,14 @@ def _screen(rules: Sequence[Rule], scopes: Scopes) -> Column | None:
 
 
 def resolve_dimension(
-    dimension: str, scopes: Scopes, profile: Profile, ruleset: RuleSet, now: datetime
+    dimension: str, scopes: Scopes, profile: Profile, ruleset: RuleSet, now: datetime, matched_chars: int | None = None
 ) -> Column:
     """The first rule of the dimension that matches, else ``unknown``."""
     rules = ruleset.active(dimension, profile)
     unknown = _unknown(dimension).cast(DIMENSION_VERDICT)
     if not rules:
         return unknown
-    decided = F.coalesce(*[_rule_verdict(r, scopes, profile, now) for r in rules], unknown)
+    decided = F.coalesce(*[_rule_verdict(r, scopes, profile, now, matched_chars) for r in rules], unknown)
     screen = _screen(rules, scopes)
     return decided if screen is None else F.when(screen, decided).otherwise(unknown)
 
@@ -115,9 +115,17 @@ def combine(dimensions: Column) -> Column:
 
 
 def resolve_eligibility(
-    listings: DataFrame, profile: Profile, ruleset: RuleSet, now: datetime, name: str = "eligibility"
+    listings: DataFrame,
+    profile: Profile,
+    ruleset: RuleSet,
+    now: datetime,
+    name: str = "eligibility",
+    matched_chars: int | None = None,
 ) -> DataFrame:
-    """Add the verdict struct. It labels every row and drops none."""
+    """Add the verdict struct. It labels every row and drops none.
+
+    The matched text is whole unless ``matched_chars`` limits it.
+    """
     if not ruleset.dimensions:
         empty = F.struct(F.lit("unknown").alias("eligibility"), F.array().alias("dimensions"))
         return listings.withColumn(name, empty.cast(ELIGIBILITY_VERDICT))
@@ -126,7 +134,7 @@ def resolve_eligibility(
     }
     columns = {fields: f"_scope_{i}" for i, fields in enumerate(sorted(needed))}
     scoped = listings.withColumns({column: scope_fields(fields) for fields, column in columns.items()})
-    dimensions = [resolve_dimension(d, columns, profile, ruleset, now) for d in ruleset.dimensions]
+    dimensions = [resolve_dimension(d, columns, profile, ruleset, now, matched_chars) for d in ruleset.dimensions]
     resolved = compute_once(scoped, {"_dimensions": F.array(*dimensions)}).drop(*columns.values())
     verdict = F.struct(combine(F.col("_dimensions")).alias("eligibility"), F.col("_dimensions").alias("dimensions"))
     return resolved.withColumn(name, verdict.cast(ELIGIBILITY_VERDICT)).drop("_dimensions")

@@ -28,17 +28,17 @@ def collect_counts(normalised: DataFrame) -> DataFrame:
 
 
 def source_outcomes(configured: DataFrame, fetched: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row per configured source: rows fetched, error, and a state.
+    """One row per configured source: rows fetched, failed payloads, error, state.
 
     No rows without an error is its own state, because a broken parser looks
     exactly like that. ``configured`` is ``(source, source_priority)`` and
-    ``errors`` is ``(source, error)``.
+    ``errors`` is ``(source, failed_payloads, error)``.
     """
     counts = fetched.groupBy("source").agg(F.count("*").alias("fetched"))
-    joined = configured.join(counts, "source", "left").join(errors.select("source", "error"), "source", "left")
-    rows = F.coalesce("fetched", F.lit(0))
+    joined = configured.join(counts, "source", "left").join(errors.select("source", "failed_payloads", "error"), "source", "left")
+    rows, failed = (F.coalesce(c, F.lit(0)).cast("bigint") for c in ("fetched", "failed_payloads"))
     state = F.when(F.col("error").isNotNull(), F.lit("error")).when(rows == 0, F.lit("empty")).otherwise(F.lit("ok"))
-    return joined.select("source", "source_priority", rows.cast("bigint").alias("fetched"), "error", state.alias("state"))
+    return joined.select("source", "source_priority", rows.alias("fetched"), failed.alias("failed_payloads"), "error", state.alias("state"))
 
 
 def source_health(source_runs: DataFrame, order: str = "run_id") -> DataFrame:
@@ -51,23 +51,44 @@ def source_health(source_runs: DataFrame, order: str = "run_id") -> DataFrame:
     return source_runs.withColumn("broken", F.coalesce(broken, F.lit(False)))
 
 
-def funnel_report(raws: DataFrame, listings: DataFrame, filtered: DataFrame) -> DataFrame:
-    """Stage counters of one pass: raw records, unique listings, verdicts, drops."""
-    verdict = effective()
-    judged = filtered.agg(
-        F.count("*").alias("deduplicated"),
-        *[F.count_if(verdict == e).alias(f"{e}") for e in ("eligible", "ineligible", "unknown")],
-        F.count_if(F.col("drop_reason").isNotNull()).alias("filtered_out"),
-        F.count_if(F.col("verification").isNotNull()).alias("verified"),
-        F.count_if(F.col("match").isNotNull()).alias("scored"),
-    )
-    stages = [
-        raws.agg(F.count("*").alias("n")).select(F.lit("fetched").alias("stage"), "n"),
-        listings.agg(F.count("*").alias("n")).select(F.lit("normalised").alias("stage"), "n"),
-        judged.select(
-            F.inline(
-                F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("n")) for c in judged.columns])
-            )
-        ),
+#: Counters of a run, in stage order.
+STAGES = ("fetched", "normalised", "deduplicated", "eligible", "ineligible", "unknown", "filtered_out", "verified", "scored", "errors")
+
+
+def funnel_report(
+    *,
+    fetched: DataFrame,
+    normalised: DataFrame,
+    deduplicated: DataFrame,
+    verdicts: DataFrame,
+    drops: DataFrame,
+    verified: DataFrame,
+    scored: DataFrame,
+    errors: DataFrame | None = None,
+) -> DataFrame:
+    """``(stage, n)``: what each stage of one run let through, each counted at
+    that stage.
+
+    ``verdicts`` has an ``outcome``, ``drops`` a ``drop_reason``; ``errors`` holds
+    the failed sources.
+    """
+
+    def counted(name: str, rows: DataFrame | None) -> DataFrame:
+        source = fetched.limit(0) if rows is None else rows
+        return source.agg(F.lit(name).alias("stage"), F.count("*").alias("n"))
+
+    judged = verdicts.agg(*[F.count_if(F.col("outcome") == e).alias(e) for e in ("eligible", "ineligible", "unknown")])
+    parts = [
+        counted("fetched", fetched),
+        counted("normalised", normalised),
+        counted("deduplicated", deduplicated),
+        judged.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("n")) for c in judged.columns]))),
+        counted("filtered_out", drops.filter(F.col("drop_reason").isNotNull())),
+        counted("verified", verified),
+        counted("scored", scored),
+        counted("errors", errors),
     ]
-    return stages[0].unionByName(stages[1]).unionByName(stages[2])
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result

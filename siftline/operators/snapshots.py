@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from siftline.schema import ELIGIBILITY, LISTING, REFRESHABLE, STATUSES, USER_FIELDS
 
 CHANGES = ("inserted", "updated", "unchanged")
+#: Parts of a listing's patches.
+PATCH_SALTS = 32
 
 
 def classify_change(incoming: DataFrame, current: DataFrame) -> DataFrame:
@@ -127,10 +129,14 @@ def check_patches(patches: DataFrame, listings: DataFrame) -> DataFrame:
     """Add ``problem`` to ``(id, body, seq)`` patches; null marks the valid ones.
 
     ``body`` is a JSON object of user-owned fields. An unknown field, a value
-    outside its domain or an unknown id makes a patch invalid as a whole.
+    outside its domain or an unknown id makes a patch invalid as a whole. A
+    listing may have any share of the patches: the known ids among them are
+    found from distinct ids and meet the patches in ``PATCH_SALTS`` parts each.
     """
-    parsed = patches.withColumn("_fields", F.from_json("body", "map<string,string>"))
-    known = listings.select("id", F.lit(True).alias("_known"))
+    salted = patches.withColumn("_salt", F.pmod(F.xxhash64("body", "seq"), F.lit(PATCH_SALTS)).cast("int"))
+    parsed = salted.withColumn("_fields", F.from_json("body", "map<string,string>"))
+    patched = patches.select("id").distinct().join(listings.select("id"), "id", "left_semi")
+    known = patched.select("id", F.explode(F.sequence(F.lit(0), F.lit(PATCH_SALTS - 1))).alias("_salt"), F.lit(True).alias("_known"))
     fields = F.map_keys("_fields")
     status, override = F.try_element_at("_fields", F.lit("status")), F.try_element_at("_fields", F.lit("eligibility_override"))
     problem = (
@@ -140,7 +146,7 @@ def check_patches(patches: DataFrame, listings: DataFrame) -> DataFrame:
         .when(override.isNotNull() & ~override.isin(*ELIGIBILITY, "clear"), F.lit("bad override"))
         .when(F.col("_known").isNull(), F.lit("unknown id"))
     )
-    return parsed.join(known, "id", "left").withColumn("problem", problem).drop("_known")
+    return parsed.join(known, ["id", "_salt"], "left").withColumn("problem", problem).drop("_known", "_salt")
 
 
 def patch_events(checked: DataFrame) -> DataFrame:

@@ -219,13 +219,19 @@ def verify(pending: DataFrame, fetches: DataFrame, now: datetime, on: str = "id"
     return joined.select("id", combine_verification(F.col("legitimacy"), F.col("liveness"), now).alias("verification"))
 
 
-def verify_pending(view: DataFrame, limit: int | None = None, order: Sequence[Column] | None = None) -> DataFrame:
+def verify_pending(
+    view: DataFrame, limit: int | None = None, order: Sequence[Column] | None = None, recheck_unknown: bool = False
+) -> DataFrame:
     """Listings without a verification: all of them, or with a fetch budget the
-    first ``limit`` in listing order. A stored ``unknown`` tier counts as verified.
+    first ``limit`` in listing order. A stored ``unknown`` tier counts as verified
+    unless ``recheck_unknown`` asks for another look.
     """
     from siftline.operators.views import order_columns
 
-    pending = view.filter(F.col("verification").isNull())
+    due = F.col("verification").isNull()
+    if recheck_unknown:
+        due = due | (F.col("verification.tier") == "unknown")
+    pending = view.filter(due)
     if limit is None:
         return pending
     return pending.orderBy(*(order or order_columns("match_score"))).limit(limit)

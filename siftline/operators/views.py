@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.functions.dates import timestamp_literal
 from siftline.operators.eligibility import effective_eligibility, summary
 
 MAX_PAGE = 500
@@ -55,9 +57,27 @@ def conditions(
     statuses: Sequence[str] = (),
     eligibilities: Sequence[str] = (),
     sources: Sequence[str] = (),
+    tiers: Sequence[str] = (),
+    min_score: int | None = None,
+    max_score: int | None = None,
+    posted_from: datetime | None = None,
+    posted_before: datetime | None = None,
 ) -> list[Column]:
-    """All must hold; several values of one are alternatives."""
+    """All must hold; several values of one are alternatives.
+
+    A listing without a tier, score or date fails every condition on it.
+    """
     result = []
+    if tiers:
+        result.append(F.col("verification.tier").isin(*tiers))
+    if min_score is not None:
+        result.append(F.col("match.score") >= min_score)
+    if max_score is not None:
+        result.append(F.col("match.score") <= max_score)
+    if posted_from is not None:
+        result.append(F.col("posted_at") >= timestamp_literal(posted_from))
+    if posted_before is not None:
+        result.append(F.col("posted_at") < timestamp_literal(posted_before))
     if sources:
         result.append(F.col("source").isin(*sources))
     if unscored_only:
@@ -161,7 +181,7 @@ def page_totals(view: DataFrame, **filters) -> DataFrame:
     """``total`` counts all listings, ``total_filtered`` those the filters keep."""
     passes = F.lit(True)
     for condition in conditions(**filters):
-        passes = passes & condition
+        passes = passes & F.coalesce(condition, F.lit(False))
     return view.agg(F.count("*").alias("total"), F.count_if(passes).alias("total_filtered"))
 
 

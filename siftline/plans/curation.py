@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators import funnel, ranking, reports, scoring, snapshots, verification
 from siftline.operators.eligibility import resolve_eligibility
-from siftline.operators.normalise import unique_listings
+from siftline.operators.normalise import complete_raw, drop_unusable, unique_listings
 from siftline.operators.rules import RuleSet
 from siftline.schema import LISTING, Criteria, Profile
 from siftline.sources import registry, sinks
@@ -48,14 +48,25 @@ class Store:
         return self.spark.read.parquet(self.path(table, run))
 
     def latest(self, table: str, value: str, runs: Sequence[int]) -> DataFrame | None:
-        """``(id, value)`` over the given runs, the last write of an id winning."""
-        parts = [self.read(table, run).withColumn("_run", F.lit(run)) for run in runs]
-        if not parts:
+        """``(id, value)`` over the given runs, the last write of an id winning.
+
+        One scan of the table, pruned to the runs: the plan is the same for one run
+        and for a thousand.
+        """
+        if not runs or not self.exists(table):
             return None
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        return snapshots.latest_by_key(rows, value, seq="_run")
+        rows = self.spark.read.parquet(f"{self.root}/{table}").filter(F.col("run").isin(*runs))
+        return snapshots.latest_by_key(rows, value, seq="run")
+
+    def exists(self, table: str) -> bool:
+        """Whether any run has written the table; damaged output is an error."""
+        try:
+            self.spark.read.parquet(f"{self.root}/{table}")
+        except Exception as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return False
+            raise
+        return True
 
 
 @dataclass(frozen=True)
@@ -65,12 +76,19 @@ class Settings:
     criteria: Criteria
     verify_limit: int | None = None
     score_limit: int | None = None
+    recheck_unknown: bool = False
     batch_size: int = BATCH_SIZE
 
 
+def store_records(store: Store, run: int, payloads: DataFrame, sources: dict) -> DataFrame:
+    """Every record of the run as it arrived, with its raw text: payloads are parsed
+    for it once, and listings, counts and outcomes are read from it."""
+    return store.write("records", run, complete_raw(registry.union_sources(payloads, sources)))
+
+
 def collect(store: Store, run: int, previous: int | None, payloads: DataFrame, sources: dict, now: datetime) -> DataFrame:
     """Landed payloads to the next listings snapshot."""
-    raw = registry.union_sources(payloads, sources).drop("raw")
+    raw = store_records(store, run, payloads, sources).drop("raw")
     incoming = store.write("incoming", run, unique_listings(raw, now, registry.ORDER))
     problems = store.write("problems", run, registry.source_problems(payloads, sources))
     fetched = raw.select("source")
@@ -99,21 +117,11 @@ def view(store: Store, run: int, runs: Sequence[int], users: DataFrame | None =
         eligibility=store.read("eligibility", run),
         verification=store.latest("verification", "verification", runs),
         prescore=store.read("prescore", run) if scored else None,
-        matches=store.latest("matches", "match", [r for r in runs if _exists(store, "matches", r)]),
+        matches=store.latest("matches", "match", runs),
         users=users,
     )
 
 
-def _exists(store: Store, table: str, run: int) -> bool:
-    try:
-        store.read(table, run)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return False
-        raise
-    return True
-
-
 def run_all(
     store: Store,
     run: int,
@@ -135,7 +143,8 @@ def run_all(
     label(store, run, settings, now)
 
     seen = view(store, run, history, users)
-    pending = verification.verify_pending(funnel.kept(seen, settings.criteria, now), settings.verify_limit)
+    survivors = funnel.kept(seen, settings.criteria, now)
+    pending = verification.verify_pending(survivors, settings.verify_limit, recheck_unknown=settings.recheck_unknown)
     store.write("verification", run, verification.verify(pending, fetches, now))
 
     # Selected again, so that listings just found closed cost nothing further.
@@ -146,17 +155,19 @@ def run_all(
     scored = ranking.prescore(kept, settings.profile, now)
     store.write("prescore", run, scored.select("id", "prescore"))
 
-    ranked = ranking.topk_pending(
-        kept.drop("prescore").join(store.read("prescore", run), "id"), settings.score_limit
-    )
-    planned = scoring.plan_scoring(
-        ranked.select("id", "title", "company", "description", "location_text", "prescore"), settings.profile, settings.batch_size
-    )
+    # Ids and scores are placed first; the texts join the finished batches once.
+    matches = store.latest("matches", "match", [*history, run])
+    open_ids = store.read("prescore", run)
+    if matches is not None:
+        open_ids = scoring.resume_unscored(open_ids, matches)
+    best = open_ids if settings.score_limit is None else ranking.rank(open_ids).limit(settings.score_limit)
+    planned = scoring.plan_scoring(best, settings.profile, settings.batch_size)
     if planned is not None:
-        batches = store.write("batches", run, planned)
+        texts = store.read("listings", run).select("id", "title", "company", "description", "location_text")
+        batches = store.write("batches", run, planned.join(texts, "id"))
         prompts = scoring.render_prompt(batches, settings.profile.resume_text)
         store.write("prompts", run, prompts)
-    return store.write("runs", run, _report(store, run))
+    return store.write("runs", run, report(store, run))
 
 
 def export_prompts(store: Store, run: int, path: str) -> None:
@@ -172,34 +183,24 @@ def import_scores(store: Store, run: int, replies: DataFrame, provider: str, now
     return store.write("matches", run, scoring.attach_scores(batches, answers, provider, now))
 
 
-# The counters of a run.
-COUNTERS = (
-    "fetched", "normalised", "deduplicated", "eligible", "ineligible", "unknown_eligibility", "filtered_out", "verified",
-)
-
-
-def _report(store: Store, run: int) -> DataFrame:
-    """One row of counters from the stored tables; each is a narrow scan."""
-
-    def counter(name: str, rows: DataFrame, value: Column) -> DataFrame:
-        return rows.agg(value.cast("bigint").alias("n")).select(F.lit(name).alias("counter"), "n")
-
-    verdicts, rows = store.read("eligibility", run), F.count("*")
-    outcome = F.col("eligibility.eligibility")
-    parts = [
-        counter("fetched", store.read("source_runs", run), F.sum("fetched")),
-        counter("normalised", store.read("incoming", run), rows),
-        counter("deduplicated", verdicts, rows),
-        counter("eligible", verdicts, F.count_if(outcome == "eligible")),
-        counter("ineligible", verdicts, F.count_if(outcome == "ineligible")),
-        counter("unknown_eligibility", verdicts, F.count_if(outcome == "unknown")),
-        counter("filtered_out", store.read("drops", run), F.count_if(F.col("drop_reason").isNotNull())),
-        counter("verified", store.read("verification", run), rows),
-    ]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    return stacked.agg(
+def report(store: Store, run: int) -> DataFrame:
+    """One row of the run's counters, from its stored tables. Called again after
+    :func:`import_scores` it also counts what was scored."""
+    records = store.read("records", run)
+    matches = store.latest("matches", "match", [run])
+    stages = reports.funnel_report(
+        fetched=records,
+        normalised=drop_unusable(records.select("title", "url")),
+        deduplicated=store.read("incoming", run),
+        verdicts=store.read("eligibility", run).select(F.col("eligibility.eligibility").alias("outcome")),
+        drops=store.read("drops", run),
+        verified=store.read("verification", run),
+        scored=records.limit(0) if matches is None else matches,
+        errors=store.read("source_runs", run).filter(F.col("error").isNotNull()),
+    )
+    # The stages' names are fixed, so this is one pass without a search for them.
+    named = {stage: "unknown_eligibility" if stage == "unknown" else stage for stage in reports.STAGES}
+    return stages.agg(
         F.lit(run).alias("run_id"),
-        *[F.coalesce(F.max(F.when(F.col("counter") == c, F.col("n"))), F.lit(0)).alias(c) for c in COUNTERS],
+        *[F.coalesce(F.max(F.when(F.col("stage") == s, F.col("n"))), F.lit(0)).alias(n) for s, n in named.items()],
     )

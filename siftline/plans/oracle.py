@@ -246,7 +246,7 @@ def dimension_rows(relation: str) -> str:
                 f"SELECT id, {i} AS ord, {q(dim)} AS dimension, "
                 f"coalesce({pick([q(r.verdict) for r in active])}, 'unknown') AS eligibility, "
                 f"{pick([q(r.id) for r in active])} AS rule_id, {pick([q(r.evidence) for r in active])} AS evidence, "
-                f"substr({pick([f'm{j}' for j in range(len(active))])}, 1, 200) AS matched_text, "
+                f"{pick([f'm{j}' for j in range(len(active))])} AS matched_text, "
                 f"{pick([q(fields) for _ in active])} AS source_field "
                 f"FROM (SELECT id, {matches} FROM {relation})"
             )
@@ -255,7 +255,7 @@ def dimension_rows(relation: str) -> str:
                 f"SELECT id, {i} AS ord, 'timezone' AS dimension, "
                 "CASE WHEN required_hours IS NULL THEN 'unknown' WHEN short THEN 'ineligible' ELSE 'eligible' END AS eligibility, "
                 "CASE WHEN required_hours IS NULL THEN NULL WHEN short THEN 'tz.insufficient_overlap' ELSE 'tz.sufficient_overlap' END AS rule_id, "
-                "said AS evidence, substr(said, 1, 200) AS matched_text, "
+                "said AS evidence, said AS matched_text, "
                 "CASE WHEN required_hours IS NULL THEN NULL WHEN short THEN 'timezone.insufficient_overlap' ELSE 'timezone.sufficient_overlap' END AS source_field "
                 "FROM (SELECT *, CASE WHEN required_hours IS NULL THEN NULL "
                 f"WHEN short THEN {_message()} "

@@ -216,6 +216,15 @@ def verify_pending_budget(spark, sf):
     return verification.verify_pending(_third_verified(spark, sf), 400).select("id")
 
 
+@query("verify_recheck", O.with_("SELECT id FROM scored WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0", "scored"))
+def verify_recheck(spark, sf):
+    """Of the verified third, those that came out unknown are due again."""
+    view = _third_verified(spark, sf)
+    doubtful = F.col("verification").isNotNull() & (F.col("doc_id") % 2 == 0)
+    tier = F.when(doubtful, F.col("verification").withField("tier", F.lit("unknown"))).otherwise(F.col("verification"))
+    return verification.verify_pending(view.withColumn("verification", tier), recheck_unknown=True).select("id")
+
+
 # --- ranking ---
 
 _PARTS = O.prescore_parts()
@@ -264,13 +273,24 @@ def topk_pending(spark, sf):
         "UNION ALL SELECT 'deduplicated', count(*) FROM curated "
         "UNION ALL SELECT e, (SELECT count(*) FROM curated WHERE effective = e) FROM (SELECT unnest(['eligible', 'ineligible', 'unknown']) AS e) "
         f"UNION ALL SELECT 'filtered_out', count(*) FROM curated WHERE ({O.drop_reason()}) IS NOT NULL "
-        "UNION ALL SELECT 'verified', 0 UNION ALL SELECT 'scored', 0",
+        "UNION ALL SELECT 'verified', count(*) FROM curated WHERE doc_id % 3 = 0 UNION ALL SELECT 'scored', count(*) FROM curated WHERE doc_id % 5 = 0 "
+        "UNION ALL SELECT 'errors', 0",
         "curated",
     ),
 )
 def run_report(spark, sf):
+    """A run over all documents: every third listing verified, every fifth scored."""
     from siftline.operators.normalise import drop_unusable
 
     raw = L.raw_listings(spark, sf)
     filtered = funnel.apply_filters(L.curated(spark, sf), L.CRITERIA, L.NOW)
-    return reports.funnel_report(raw, drop_unusable(raw), filtered)
+    judged = filtered.select("doc_id", reports.effective().alias("outcome"), "drop_reason")
+    return reports.funnel_report(
+        fetched=raw,
+        normalised=drop_unusable(raw),
+        deduplicated=judged,
+        verdicts=judged,
+        drops=judged,
+        verified=judged.filter("doc_id % 3 = 0"),
+        scored=judged.filter("doc_id % 5 = 0"),
+    )

@@ -187,29 +187,53 @@ def ats_fanout(spark, sf):
 @query(
     "source_outcomes",
     O.with_(
-        f"SELECT source, CAST(count(*) AS BIGINT) AS fetched, CAST(NULL AS VARCHAR) AS error, 'ok' AS state FROM ({_COUNTED}) WHERE source NOT IN ('lever', 'remotive') GROUP BY source "
-        "UNION ALL SELECT 'lever', 0, 'all ' || CAST(count(DISTINCT chunk) AS VARCHAR) || ' configured boards failed: timed out', 'error' FROM d "
-        "UNION ALL SELECT 'remotive', 0, NULL, 'empty'",
+        "SELECT source, CAST(count(*) AS BIGINT) AS fetched, CASE WHEN source IN ('greenhouse', 'ashby') "
+        "THEN (SELECT count(DISTINCT chunk) FROM d WHERE chunk % 7 IN (3, 5)) ELSE 0 END AS failed_payloads, CAST(NULL AS VARCHAR) AS error, 'ok' AS state "
+        f"FROM ({_COUNTED}) WHERE source NOT IN ('lever', 'remotive', 'weworkremotely') GROUP BY source "
+        "UNION ALL SELECT 'lever', 0, count(DISTINCT chunk), 'all ' || CAST(count(DISTINCT chunk) AS VARCHAR) || ' configured boards failed: timed out', 'error' FROM d "
+        "UNION ALL SELECT 'weworkremotely', count(*) FILTER (chunk % 7 <> 3), count(DISTINCT chunk) FILTER (chunk % 7 = 3), NULL, 'ok' FROM d "
+        "UNION ALL SELECT 'remotive', 0, 0, NULL, 'empty'",
         d=_D,
     ),
 )
 def source_outcomes(spark, sf):
-    """One feed whose boards all failed, one that gave nothing, five that work."""
+    """One feed whose boards all failed, one that gave nothing, one without boards
+    that lost some payloads, four that work."""
     from siftline.operators.reports import source_outcomes as outcomes
 
     landed = D.all_payloads(spark, sf)
     lost = F.col("source") == "lever"
     empty = F.col("source") == "remotive"
+    some = (F.col("source") == "weworkremotely") & (F.substring("payload_id", -12, 12).cast("bigint") % 7 == 3)
     landed = landed.withColumns(
         {
-            "body": F.when(empty, F.lit('{"jobs":[]}')).when(~lost, F.col("body")),
-            "error": F.when(lost, F.lit("timed out")).otherwise(F.col("error")),
+            "body": F.when(empty, F.lit('{"jobs":[]}')).when(~lost & ~some, F.col("body")),
+            "error": F.when(lost, F.lit("timed out")).when(some, F.lit("HTTP 500")).otherwise(F.col("error")),
         }
     )
     sources = _sources()
-    fetched = registry.union_sources(landed, sources)
+    fetched = registry.union_sources(landed, sources).select("source")
     errors = registry.source_errors(registry.source_problems(landed, sources), fetched)
-    return outcomes(registry.configured(spark, sources), fetched, errors).select("source", "fetched", "error", "state")
+    return outcomes(registry.configured(spark, sources), fetched, errors).select("source", "fetched", "failed_payloads", "error", "state")
+
+
+@query(
+    "raw_payloads",
+    O.with_(
+        "SELECT 'remotive' AS source, n AS external_id, md5(text) AS digest FROM d WHERE doc_id % 10 <> 9 "
+        f"UNION ALL SELECT 'lever', 'l-' || n, md5(text) FROM d WHERE doc_id % 10 < 9 AND {_READABLE}",
+        d=_D,
+    ),
+)
+def raw_payloads(spark, sf):
+    """The records of two feeds as they arrived, from a run's stored record table."""
+    from siftline.plans.curation import Store, store_records
+    from siftline.plans.scratch import scratch_dir
+
+    chosen = registry.build_sources(("remotive", "lever"), _COMPANIES)
+    landed = D.FEEDS["remotive"](spark, sf).unionByName(D.FEEDS["lever"](spark, sf))
+    records = store_records(Store(spark, scratch_dir(spark)), 1, landed, chosen)
+    return records.select("source", "external_id", F.md5(F.get_json_object("raw", "$.description")).alias("digest"))
 
 
 @query(

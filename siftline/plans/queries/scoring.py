@@ -35,6 +35,11 @@ def _written(spark, rows):
     return spark.read.parquet(path)
 
 
+def _wide(spark, sf):
+    """What prompts show, worked out once: the order and the texts both read it."""
+    return _written(spark, _scored(spark, sf).select("id", "title", "company", "description", "location_text", "prescore"))
+
+
 _BATCHED = (
     f"SELECT *, (position - 1) // {SIZE} AS batch_id, CAST((position - 1) % {SIZE} + 1 AS INTEGER) AS batch_index "
     "FROM (SELECT *, row_number() OVER (ORDER BY prescore DESC, id) AS position FROM scored)"
@@ -78,14 +83,14 @@ _PROMPTS = _prompts_sql(_WHOLE)
 
 @query("render_prompt", O.with_(f"SELECT batch_id, md5(prompt) AS digest, length(prompt) AS n_chars FROM ({_PROMPTS})", "scored"))
 def render_prompt(spark, sf):
-    wide = _scored(spark, sf).select("id", "title", "company", "description", "location_text", "prescore")
+    wide = _wide(spark, sf)
     prompts = S.render_prompt(S.assign_batches(wide, SIZE), L.PROFILE.resume_text)
     return prompts.select("batch_id", F.md5("prompt").alias("digest"), F.length("prompt").cast("bigint").alias("n_chars"))
 
 
 @query("render_prompt_limited", O.with_(f"SELECT batch_id, md5(prompt) AS digest FROM ({_prompts_sql(_CUT)})", "scored"))
 def render_prompt_limited(spark, sf):
-    wide = _scored(spark, sf).select("id", "title", "company", "description", "location_text", "prescore")
+    wide = _wide(spark, sf)
     return S.render_prompt(S.assign_batches(wide, SIZE), L.PROFILE.resume_text, chars=4000).select("batch_id", F.md5("prompt").alias("digest"))
 
 
@@ -95,9 +100,8 @@ def render_prompt_limited(spark, sf):
 )
 def sink_prompt_batches(spark, sf):
     """All batches as files, read back line by line."""
-    best = ranking.topk_pending(_scored(spark, sf), None).select("id", "title", "company", "description", "location_text", "prescore")
     path = scratch_dir(spark)
-    sinks.sink_prompt_batches(S.render_prompt(S.assign_batches(best, SIZE), L.PROFILE.resume_text), path)
+    sinks.sink_prompt_batches(S.render_prompt(S.assign_batches(_wide(spark, sf), SIZE), L.PROFILE.resume_text), path)
     lines = spark.read.text(path)
     # A text file ends with a line end of its own.
     return lines.groupBy(F.col("batch_id").cast("bigint").alias("batch_id")).agg((F.count("*") - 1).alias("n_lines"))
@@ -182,7 +186,7 @@ def attach_scores(spark, sf):
 @query("resume_unscored", O.with_(f"SELECT id FROM scored WHERE id NOT IN (SELECT id FROM ({_ANSWERS}))", "scored"))
 def resume_unscored(spark, sf):
     batched, answers = _answers(spark, sf)
-    return S.resume_unscored(_scored(spark, sf), S.attach_scores(batched, answers, PROVIDER, L.NOW)).select("id")
+    return S.resume_unscored(batched, S.attach_scores(batched, answers, PROVIDER, L.NOW)).select("id")
 
 
 @query("skip_without_resume", O.with_(f"SELECT 'with text' AS profile, count(DISTINCT batch_id) AS batches FROM ({_BATCHED}) UNION ALL SELECT 'without', 0", "scored"))

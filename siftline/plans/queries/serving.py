@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from siftline.operators import ranking, reports, verification
@@ -70,6 +72,28 @@ def list_jobs_pending(spark, sf):
     return V.list_jobs(served(spark, sf), unscored_only=True, unverified_only=True).select("id")
 
 
+@query("list_jobs_tier", _sql("SELECT id, tier FROM served WHERE tier IN ('ok', 'suspicious')"))
+def list_jobs_tier(spark, sf):
+    return V.select_listings(served(spark, sf), tiers=("ok", "suspicious")).select("id", F.col("verification.tier").alias("tier"))
+
+
+@query("list_jobs_score", _sql("SELECT id, score FROM served WHERE score BETWEEN 40 AND 80"))
+def list_jobs_score(spark, sf):
+    return V.select_listings(served(spark, sf), min_score=40, max_score=80).select("id", "match.score")
+
+
+@query("list_jobs_date", _sql(f"SELECT id, posted_epoch FROM served WHERE posted_epoch >= {O.NOW_EPOCH - 30 * 86400} AND posted_epoch < {O.NOW_EPOCH - 2 * 86400}"))
+def list_jobs_date(spark, sf):
+    """Posted within the last thirty days, but not the last two."""
+    rows = V.select_listings(served(spark, sf), posted_from=L.NOW - timedelta(days=30), posted_before=L.NOW - timedelta(days=2))
+    return rows.select("id", F.unix_seconds("posted_at").alias("posted_epoch"))
+
+
+@query("page_totals_filtered", _sql("SELECT count(*) AS total, count(*) FILTER (tier = 'ok' AND score >= 40) AS total_filtered FROM served"))
+def page_totals_filtered(spark, sf):
+    return V.page_totals(served(spark, sf), tiers=("ok",), min_score=40)
+
+
 def _ordered(order: str) -> None:
     @query(f"order_{order}", _sql(f"SELECT id, row_number() OVER (ORDER BY {_ORDER[order]}) AS position FROM served"))
     def run(spark, sf):

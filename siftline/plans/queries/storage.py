@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from siftline.operators import snapshots as S
+from siftline.operators import verification
 from siftline.operators.normalise import unique_listings
 from siftline.plans import listing_data as L
 from siftline.plans import oracle as O
@@ -99,6 +100,28 @@ def save_match(spark, sf):
     return S.latest_by_key(writes, "match").select("id", "match.score", "match.reason")
 
 
+@query("save_eligibility", O.with_("SELECT id, CASE WHEN doc_id % 4 = 1 THEN 'unknown' ELSE verdict END AS verdict FROM curated", "curated"))
+def save_eligibility(spark, sf):
+    """Two runs store verdicts; the second, over a quarter of the listings, stands there."""
+    first = L.curated(spark, sf).select("id", "doc_id", "eligibility", F.lit(1).alias("seq"))
+    again = F.col("eligibility").withField("eligibility", F.lit("unknown"))
+    second = first.filter("doc_id % 4 = 1").withColumns({"eligibility": again, "seq": F.lit(2)})
+    return S.latest_by_key(second.unionByName(first), "eligibility").select("id", F.col("eligibility.eligibility").alias("verdict"))
+
+
+@query("save_verification", O.with_("SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'expired' ELSE 'ok' END AS tier, CASE WHEN doc_id % 3 = 0 THEN 'Listing page returns HTTP 404' ELSE '' END AS reasons FROM listings", "listings"))
+def save_verification(spark, sf):
+    """Every listing was reachable at first; a third of the pages is gone later."""
+    seen = L.listings(spark, sf, keep=("doc_id",)).select("id", "doc_id")
+
+    def fetched(rows, status: int, seq: int):
+        page = {"http_status": F.lit(status), "content_type": F.lit("text/html"), "body": F.lit(""), "error": F.lit(None).cast("string")}
+        return verification.classify_liveness(rows.withColumns(page), "verification").select("id", "verification", F.lit(seq).alias("seq"))
+
+    writes = fetched(seen, 200, 1).unionByName(fetched(seen.filter("doc_id % 3 = 0"), 404, 2))
+    return S.latest_by_key(writes, "verification").select("id", "verification.tier", F.array_join("verification.reasons", "; ").alias("reasons"))
+
+
 _FIELD = "CASE event_type WHEN 'click' THEN 'status' WHEN 'purchase' THEN 'notes' WHEN 'signup' THEN 'eligibility_override' END"
 _VALUE = (
     "CASE event_type WHEN 'click' THEN CASE event_id % 3 WHEN 0 THEN 'shortlisted' WHEN 1 THEN 'applied' ELSE 'dismissed' END "

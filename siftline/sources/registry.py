@@ -77,19 +77,21 @@ def source_problems(payloads: DataFrame, sources: dict[str, Feed]) -> DataFrame:
 
 
 def source_errors(problems: DataFrame, fetched: DataFrame) -> DataFrame:
-    """``(source, error)``: feeds with failed payloads from which no row came.
+    """``(source, failed_payloads, error)`` of the feeds with failed payloads.
 
-    One bad payload among others is a problem of its own, not of the feed.
+    One bad payload among others is a problem of its own, not of the feed: only a
+    feed from which no row came has an error.
     """
     per_company = [n for n, f in REGISTRY.items() if f.per_company]
     counts = fetched.groupBy("source").agg(F.count("*").alias("_rows"))
     failures = problems.groupBy("source").agg(F.count("*").alias("_failed"), F.min("problem").alias("_first"))
     isolated = F.col("source").isin(*per_company)
-    joined = failures.join(counts, "source", "left").filter(F.col("_rows").isNull())
+    joined = failures.join(counts, "source", "left")
     message = F.when(
         isolated, F.concat(F.lit("all "), F.col("_failed").cast("string"), F.lit(" configured boards failed: "), F.col("_first"))
     ).otherwise(F.col("_first"))
-    return joined.select("source", message.alias("error"))
+    error = F.when(F.col("_rows").isNull(), message)
+    return joined.select("source", F.col("_failed").alias("failed_payloads"), error.alias("error"))
 
 
 def configured(spark, sources: dict[str, Feed]) -> DataFrame:

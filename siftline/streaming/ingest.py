@@ -21,40 +21,50 @@ from siftline.schema import LISTING
 LOG = "snapshot_log"
 
 
-def committed_snapshots(spark: SparkSession, store: str) -> list[tuple[int, int]]:
-    """``(version, batch)`` of the committed snapshots, from the small log."""
+def committed_snapshots(spark: SparkSession, store: str, stream: str | None = None) -> tuple[int, int]:
+    """The last committed version, and the last batch of the given stream in it or
+    before (of any stream without one); zero and -1 before the first."""
     try:
-        log = spark.read.schema("version bigint, batch bigint").json(f"{store}/{LOG}")
-        # One row per run, kept on the driver as the pointer to the data.
-        rows = log.agg(F.max_by(F.struct("version", "batch"), "version").alias("last")).collect()
+        log = spark.read.schema("version bigint, stream string, batch bigint").json(f"{store}/{LOG}")
+        # Batch numbers count within one checkpoint only.
+        of_stream = F.col("batch") if stream is None else F.when(F.col("stream") == stream, F.col("batch"))
+        last = log.agg(F.max("version").alias("version"), F.max(of_stream).alias("batch")).first()
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
-            return []
+            return 0, -1
         raise
-    return [(rows[0]["last"]["version"], rows[0]["last"]["batch"])] if rows and rows[0]["last"] else []
+    return last["version"] or 0, -1 if last["batch"] is None else last["batch"]
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps as long as it keeps its checkpoint."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
 
 
 def current_listings(spark: SparkSession, store: str) -> DataFrame:
     """The newest committed snapshot; empty before the first."""
-    done = committed_snapshots(spark, store)
-    if not done:
+    version, _ = committed_snapshots(spark, store)
+    if not version:
         return spark.createDataFrame([], LISTING)
-    return spark.read.schema(LISTING).parquet(f"{store}/listings/version={done[-1][0]}")
+    return spark.read.schema(LISTING).parquet(f"{store}/listings/version={version}")
 
 
-def merge_batch(spark: SparkSession, store: str, raw: DataFrame, batch: int, now: datetime, order: Sequence[str]) -> None:
+def merge_batch(
+    spark: SparkSession, store: str, raw: DataFrame, stream: str, batch: int, now: datetime, order: Sequence[str]
+) -> None:
     """Write the next snapshot, then commit it by one log row.
 
-    A batch that is already committed is skipped. Files of an uncommitted
+    A batch that its stream has already committed is skipped; a stream with a new
+    checkpoint counts from zero again and loses nothing. Files of an uncommitted
     attempt are overwritten by the retry; readers never see them.
     """
-    done = committed_snapshots(spark, store)
-    if done and done[-1][1] >= batch:
+    version, done = committed_snapshots(spark, store, stream)
+    if done >= batch:
         return
-    version = done[-1][0] + 1 if done else 1
+    version += 1
     merged = upsert_snapshot(current_listings(spark, store), unique_listings(raw, now, order))
     merged.write.mode("overwrite").parquet(f"{store}/listings/version={version}")
-    row = spark.createDataFrame([(version, batch)], "version bigint, batch bigint")
+    row = spark.createDataFrame([(version, stream, batch)], "version bigint, stream string, batch bigint")
     row.coalesce(1).write.mode("append").json(f"{store}/{LOG}")
 
 
@@ -65,11 +75,15 @@ def ingest_available(
     store: str,
     now: datetime,
     order: Sequence[str] = ("source_priority", "ingest_pos"),
+    checkpoint: str | None = None,
 ) -> None:
     """Take everything that landed since the last call, then stop."""
+    place = checkpoint or f"{store}/stream"
     raw = spark.readStream.schema(schema).parquet(landing)
     writer = raw.writeStream.foreachBatch(
-        lambda batch, number: merge_batch(batch.sparkSession, store, batch, number, now, order)
+        lambda batch, number: merge_batch(
+            batch.sparkSession, store, batch, stream_id(batch.sparkSession, place), number, now, order
+        )
     )
-    run = writer.option("checkpointLocation", f"{store}/stream").trigger(availableNow=True).start()
+    run = writer.option("checkpointLocation", place).trigger(availableNow=True).start()
     run.awaitTermination()

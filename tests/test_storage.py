@@ -103,10 +103,23 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     expected = snapshots.upsert_snapshot(unique_listings(first, NOW), unique_listings(second, LATER))
     assert sorted(map(str, ingest.current_listings(spark, store).collect())) == sorted(map(str, expected.collect()))
     before = ingest.committed_snapshots(spark, store)
-    ingest.merge_batch(spark, store, second, before[-1][1], LATER, ("source_priority", "ingest_pos"))
+    stream = ingest.stream_id(spark, f"{store}/stream")
+    ingest.merge_batch(spark, store, second, stream, before[1], LATER, ("source_priority", "ingest_pos"))
     assert ingest.committed_snapshots(spark, store) == before
 
 
+def test_a_new_checkpoint_skips_nothing(spark, tmp_path):
+    landing, store = str(tmp_path / "landing"), str(tmp_path / "store")
+    first = raw(spark, *FIRST)
+    first.write.parquet(landing)
+    ingest.ingest_available(spark, landing, first.schema, store, NOW)
+    # The checkpoint is lost; what lands now is batch zero of another stream.
+    raw(spark, ("a", "https://x.com/9", "Nine", "", 0)).write.mode("append").parquet(landing)
+    ingest.ingest_available(spark, landing, first.schema, store, LATER, checkpoint=f"{store}/second")
+    urls = {r["url"] for r in ingest.current_listings(spark, store).collect()}
+    assert urls == {"https://x.com/1", "https://x.com/2", "https://x.com/9"}
+
+
 def _payloads(spark, *titles):
     jobs = [{"url": f"https://x.com/{i}", "title": t, "description": "<p>Python, work from anywhere</p>", "company_name": "A"} for i, t in enumerate(titles)]
     return spark.createDataFrame([("remotive", None, "p", "listings", json.dumps({"jobs": jobs}), None)], PAYLOAD)
@@ -121,6 +134,8 @@ def test_two_full_runs(spark, tmp_path):
     closed = ids.filter("title = 'Data Engineer'").select("id", F.lit(404).alias("http_status"), F.lit("text/html").alias("content_type"), F.lit("").alias("body"), F.lit(None).cast("string").alias("error"))
     report = curation.run_all(store, 1, [], _payloads(spark, *titles), sources, closed, settings, NOW).first()
     assert (report["fetched"], report["deduplicated"], report["eligible"], report["filtered_out"], report["verified"]) == (4, 4, 4, 2, 3)
+    assert (report["normalised"], report["scored"], report["errors"]) == (4, 0, 0)
+    assert {r["source"] for r in store.read("records", 1).collect()} == {"remotive"}
     batches = store.read("batches", 1)
     assert sorted((r["batch_id"], r["batch_index"]) for r in batches.collect()) == [(0, 1), (0, 2)]
     curation.export_prompts(store, 1, str(tmp_path / "out"))
@@ -128,11 +143,13 @@ def test_two_full_runs(spark, tmp_path):
     scored = curation.import_scores(store, 1, reply, "manual", NOW)
     second_in_batch = batches.filter("batch_index = 2").first()["id"]
     assert [(r["id"], r["match"]["score"]) for r in scored.collect()] == [(second_in_batch, 100)]
+    assert curation.report(store, 1).first()["scored"] == 1
 
     users = spark.createDataFrame([(second_in_batch, "shortlisted", "mine", None)], "id string, status string, notes string, eligibility_override string")
-    again = curation.run_all(store, 2, [1], _payloads(spark, *titles, "Staff Engineer"), sources, closed, settings, LATER, users).first()
-    # Only the new listing is verified; what was scored is not planned again.
-    assert (again["deduplicated"], again["verified"]) == (5, 1)
+    again = curation.run_all(store, 2, [1], _payloads(spark, "Renamed", "Platform Engineer", " ", titles[0]), sources, closed, settings, LATER, users).first()
+    # Counters are this run's; what was scored is not planned again.
+    assert (again["fetched"], again["normalised"], again["deduplicated"], again["scored"]) == (4, 3, 3, 0)
+    assert again["verified"] == 1
     assert second_in_batch not in [r["id"] for r in store.read("batches", 2).collect()]
     view = curation.view(store, 2, [1, 2], users, scored=True)
     row = V.get_job(view, second_in_batch).first()
