@@ -32,11 +32,20 @@ PROFILE = Profile(
 CRITERIA = criteria_from_profile(PROFILE)
 
 
+def _turns(expressions: list[str]) -> str:
+    """One of the SQL expressions, in turn."""
+    whens = " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(expressions))
+    return f"CASE doc_id % {len(expressions)} {whens} END"
+
+
 def _cycle(values: list[str | None]) -> str:
-    whens = " ".join(
-        f"WHEN {i} THEN " + ("NULL" if v is None else "'" + v.replace("'", "''") + "'") for i, v in enumerate(values)
-    )
-    return f"CASE doc_id % {len(values)} {whens} END"
+    return _turns(["NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values])
+
+
+def _number(least: int, span: int, digits: int = 0) -> str:
+    """A number from ``least`` on as text, padded with zeros where it has ``digits``."""
+    text = f"CAST({least} + doc_id % {span} AS STRING)"
+    return f"lpad({text}, {digits}, '0')" if digits else text
 
 
 TITLES = [
@@ -44,15 +53,34 @@ TITLES = [
     "Internal Tools Engineer", "Data  Engineer", "Engineering Manager", " ", "Frontend Developer",
 ]
 LOCATIONS = ["Remote", "Remote (US)", "Remote - Worldwide", "EMEA only", None, "Remote - Europe", "Remote"]
+# Texts whose figures follow from the document's number.
 PAY = [
-    "$120,000 - $150,000 per year", "$85 per hour", "120k-150k USD", "Competitive salary", None,
-    "3+ years experience", "90,000 EUR per year", "£60k", "₹25,00,000 per annum", "$20 per hour",
+    f"concat('$', {_number(100, 89)}, ',', {_number(0, 991, 3)}, ' - $', {_number(190, 97)}, ',000 per year')",
+    f"concat('$', {_number(40, 83)}, ' per hour')",
+    f"concat({_number(90, 61)}, 'k-', {_number(151, 53)}, 'k USD')",
+    f"concat('Competitive salary, team of ', {_number(2, 97)})",
+    "NULL",
+    f"concat({_number(1, 19)}, '+ years experience')",
+    f"concat({_number(50, 71)}, ',', {_number(0, 983, 3)}, ' EUR per year')",
+    f"concat('£', {_number(30, 67)}, 'k')",
+    f"concat('₹', {_number(10, 59)}, ',', {_number(0, 97, 2)}, ',000 per annum')",
+    f"concat('$', {_number(10, 43)}, ' per hour')",
+]
+CONTRACTS = [
+    "'full_time'", f"concat('contract, ', {_number(1, 35)}, ' months')", f"concat('Part-time ', {_number(8, 31)}, 'h')", "NULL",
+    f"concat('Internship ', {_number(1, 997)})", f"concat('FullTime ', {_number(1, 991)})",
 ]
-CONTRACTS = ["full_time", "contract", "Part-time", None, "Internship", "FullTime"]
 POSTED = [
-    "3 days ago", "2026-02-01T10:00:00Z", "1740830400", "1740830400000",
-    "Fri, 20 Feb 2026 07:30:48 +0000", None, "yesterday", "2 months ago",
-]
+    f"concat({_number(1, 53)}, ' days ago')",
+    f"concat('2026-02-', {_number(1, 27, 2)}, 'T', {_number(0, 23, 2)}, ':', {_number(0, 59, 2)}, ':00Z')",
+    "CAST(1740830400 + doc_id * 61 AS STRING)",
+    "CAST((1740830400 + doc_id * 61) * 1000 AS STRING)",
+    f"concat('Fri, 20 Feb 2026 ', {_number(0, 23, 2)}, ':', {_number(0, 59, 2)}, ':48 +0000')",
+    "NULL",
+    "'yesterday'",
+    f"concat({_number(1, 5)}, ' months ago')",
+]
+TAGS = [f"concat(' Python|backend|python|Skill ', {_number(1, 997)})", "''"]
 ENDINGS = [
     "Work from anywhere", "US  only", "we report status to us", "no visa sponsorship", "employer of record",
     "Requires 6 hours of overlap with PST.", "Requires 2 hours of overlap with CET.", "registration fee",
@@ -76,10 +104,10 @@ SELECT
   {_cycle(TITLES)} AS title,
   CASE WHEN doc_id % 11 = 0 THEN NULL ELSE concat('Company ', CAST(doc_id % 37 AS STRING)) END AS company,
   {_cycle(LOCATIONS)} AS location_text,
-  {_cycle(PAY)} AS compensation_text,
-  {_cycle(CONTRACTS)} AS contract_text,
-  {_cycle(POSTED)} AS posted_at_text,
-  {_cycle([' Python|backend|python', ''])} AS tags_text,
+  {_turns(PAY)} AS compensation_text,
+  {_turns(CONTRACTS)} AS contract_text,
+  {_turns(POSTED)} AS posted_at_text,
+  {_turns(TAGS)} AS tags_text,
   concat(text, ' ', {_cycle(ENDINGS)}) AS description
 FROM documents
 """
