@@ -362,6 +362,20 @@ def test_contaminated(spark):
     assert decontamination.drop_contaminated(texts, items.limit(0)).count() == len(rows)
 
 
+def found_in(spark, item, texts):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r for r in decontamination.contaminated(rows, items).collect()}
+
+
+def test_items_of_many_slots(spark):
+    item = "Compute 12 + 7 * 3 - 4 / 2 + 9 - 8"
+    got = found_in(spark, item, [f"so {item} is asked", item.lower(), "Compute 11 + 6 * 5 - 3 / 1 + 8 - 9", "12 7 3 4 2 1 5 6 7 8"])
+    assert set(got) == {0, 1} and got[0]["n_windows"] == 4 and got[0]["verbatim"]
+    got = found_in(spark, "What is 17 x 23 + 5 - 9?", ["what is 4 x 5 and no more of it", "they ask what is 4 x 5 + 6 - 7 today", "what is 17 x 23 + 5 - 9"])
+    assert set(got) == {1, 2} and got[1]["coverage"] == 1 and not got[1]["verbatim"] and got[2]["verbatim"]
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
     test_contaminated(spark)
