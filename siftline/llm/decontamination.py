@@ -1,6 +1,6 @@
 """Benchmark questions in documents, also with other numbers, names or units.
 
-Texts become templates: numbers, names (capitalised words within a sentence)
+Texts become templates: numbers, names (capitalised words, wherever they stand)
 and units after numbers turn into typed placeholders, everything else is lower
 case without punctuation. Windows of five words find places where a document may
 hold an item; there the item is laid against the document word by word. Words
@@ -62,10 +62,10 @@ def words_of(text: Column) -> Column:
     """Lower-case words; the values of slots follow their mark."""
     marks = NAME + NUMBER + UNIT
     plain = F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, "   ")).otherwise(text)
-    named = F.regexp_replace(plain, r"(?<=[\p{Ll},;] )(\p{Lu}\p{L}+)", NAME + "$1")
+    named = F.regexp_replace(plain, r"(?<![\p{L}\p{M}\p{N}])(\p{Lu}[\p{L}\p{M}]+)", NAME + "$1")
     numbered = F.regexp_replace(named, r"(?<![\p{L}\p{N}.,])(\d+(?:[.,:/]\d+)*)(?![\p{L}\p{N}])", NUMBER + "$1")
     apart = F.regexp_replace(numbered, rf"(?i)(?<![\p{{L}}\p{{N}}.,])(\d+(?:[.,]\d+)*)({_UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1 {UNIT}$2")
-    united = F.regexp_replace(apart, rf"(?i)({NUMBER}[0-9.,:/]*[0-9]) ({_UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
+    united = F.regexp_replace(apart, rf"(?i)({NUMBER}[0-9.,:/]*[0-9])[\s\p{{Z}}]+{NAME}?({_UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     # Most texts hold no digit and are spared three passes.
     digits = text.rlike("[0-9]")
     return F.array_remove(F.when(digits, F.split(F.lower(united), _BETWEEN)).otherwise(F.split(F.lower(named), _SIMPLE)), "")

@@ -376,6 +376,18 @@ def test_items_of_many_slots(spark):
     assert set(got) == {1, 2} and got[1]["coverage"] == 1 and not got[1]["verbatim"] and got[2]["verbatim"]
 
 
+def test_items_in_other_case_and_lines(spark):
+    item = "Tom has 5 apples. Tom buys 3 more from Mr. Smith and gives Anna the half of them, so how many are left for Tom"
+    other = item.replace("Tom", "Bob").replace("Smith", "Jones").replace("Anna", "Eve").replace("5", "8")
+    mixed = item.replace("Tom buys", "Ann buys").replace("Tom has", "Joe has")
+    wrapped = other.replace(" Eve", "\n  Eve").replace(" Jones", "\nJones").replace(" Bob", "  Bob")
+    got = found_in(spark, item, [item.lower(), item.upper(), wrapped, other, mixed, "Tom has 5 apples. Tom likes them all and never gives Anna a half of them"])
+    assert set(got) == {0, 1, 2, 3}
+    assert got[0]["verbatim"] and got[1]["verbatim"] and not got[2]["verbatim"]
+    assert set(found_in(spark, item.lower(), [item, other.lower(), "it took 60\nKm"])) == {0}
+    assert set(found_in(spark, "the old car went 60 km to the sea", ["the old car went 75\n KM to the sea", "the old car went home"])) == {0}
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
     test_contaminated(spark)
