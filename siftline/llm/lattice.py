@@ -28,8 +28,9 @@ Only distinct words and phrases per chunk are shuffled; counts come back to the
 No table of words is ever broadcast or collected.
 
 Null texts are empty and hold the end alone. Null ids are in the fold of the
-empty text. Repeated rows count and are scored each. Without training rows every
-word has its subword score and the end one half. Other columns are ignored.
+empty text. Repeated rows count and are scored each. Without training words every
+word has half its subword score and the end one half. Probabilities stay in logs
+throughout: a long unseen word costs what its pieces cost. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -220,6 +221,15 @@ def either(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b) + np.log10(1 + 10.0 ** -np.abs(a - b))
 
 
+def repeated(uses: np.ndarray, among: np.ndarray, weight: float, p: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(uses + weight * p) / (among + weight)`` and its log10, however small p is."""
+    share = (uses + weight * p) / (among + weight)
+    small = np.flatnonzero(share < 1e-290)  # below any use: p alone
+    result = np.log10(np.maximum(share, 1e-290))
+    result[small] = logs[small] + np.log10(weight / (among[small] + weight))
+    return share, result
+
+
 def text_scores(tokens: np.ndarray, lengths: np.ndarray, logs: np.ndarray, sizes: np.ndarray, copied: np.ndarray, spelled: float) -> np.ndarray:
     """Log10 probability of each text, its end included, over all paths.
 
@@ -230,7 +240,7 @@ def text_scores(tokens: np.ndarray, lengths: np.ndarray, logs: np.ndarray, sizes
     starts = np.cumsum(lengths) - lengths
     text = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(tokens)) - starts[text]
-    alone = 10.0 ** logs[tokens]
+    alone = (10.0 ** logs[tokens], logs[tokens])
     used, _ = ranked(text * len(logs) + tokens)
     before = np.where(place > 0, tokens[np.arange(len(tokens)) - 1], len(logs))
     behind, context = ranked(text * (len(logs) + 1) + before)
@@ -241,12 +251,11 @@ def text_scores(tokens: np.ndarray, lengths: np.ndarray, logs: np.ndarray, sizes
     def total(scores: np.ndarray) -> np.ndarray:
         return np.add.reduceat(either(copied, spelled + np.add.reduceat(scores, phrase)), first)
 
-    paths = [total(logs[tokens])]
+    paths = [total(alone[1])]
     for weight, second in REPEATS:
         if second is None:
-            once = (used + weight * alone) / (place + weight)
-        p = once if second is None else (again + second * once) / (behind + second)
-        paths.append(total(np.log10(np.maximum(p, 1e-300))))
+            once = repeated(used, place, weight, *alone)
+        paths.append(total((once if second is None else repeated(again, behind, second, *once))[1]))
     top = np.max(paths, axis=0)
     return top + np.log10(np.mean(10.0 ** (np.array(paths) - top), axis=0))
 
@@ -379,12 +388,13 @@ def score_texts(docs: DataFrame, path: str, held_out: Column) -> DataFrame:
         lattice = Lattice(vocabulary(path)[0], shared.value)
         for batch in batches:
             c = batch.column(1).to_numpy()
-            likelihood = np.exp(lattice.marginals(batch.column(0).to_pylist()))
-            if total:
-                p = (np.maximum(c - discount, 0) + discount * t["types"] * likelihood) / total
+            logs = lattice.marginals(batch.column(0).to_pylist()) / np.log(10)
+            if t["types"]:
+                logs += np.log10(discount * t["types"] / total)
+                seen = c > 0
+                logs[seen] = either(np.log10((c[seen] - discount) / total), logs[seen])
             else:
-                p = likelihood / 2
-            logs = np.log10(np.maximum(p, 1e-300))
+                logs += np.log10(0.5)
             base = np.log10((c + 1) / (total + types + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c > 0), pa.array(base), pa.array(logs)], names=["word", "known", "base", "log"])
 
@@ -395,7 +405,7 @@ def score_texts(docs: DataFrame, path: str, held_out: Column) -> DataFrame:
     copied = spans.filter(F.col("c") > left).select("chunk", "pos", F.lit(None).cast("boolean").alias("known"), F.lit(None).cast("double").alias("base"), whole, F.lit(True).alias("phrase"))
     back = back.unionByName(copied)
     end_base = float(np.log10((ends + 1) / (total + types + 1)))
-    end_log = float(np.log10(ends / total)) if ends else float(np.log10(0.5))
+    end_log = float(np.log10(ends / total)) if t["types"] else float(np.log10(0.5))
 
     def documents(chunk: pa.Table, stats: pa.Table) -> pa.Table:
         column = lambda name: chunk.column(name).combine_chunks()

@@ -217,6 +217,23 @@ def test_lattice_scores(spark, docs):
     assert lattice.score_texts(docs.limit(0), vocabulary("piece_bpe_32k.model"), lattice.seventh()).count() == 0
 
 
+def test_long_unseen_words_cost_their_pieces(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    learnt = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rng = random.Random(1)
+    letters = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(1600))
+    for training in ("the cat and the dog", ""):
+        rows = [(learnt, training), *[(held, letters[:n]) for n in (200, 400, 1600)], (held, letters[:400] + " " + letters[:400])]
+        found = lattice.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("piece_bpe_32k.model"), lattice.seventh()).collect()
+        score = sorted(((r["n_tokens"], -r["score"]) for r in found if r["doc_id"] == held))
+        one = [x for n, x in score if n == 2]
+        assert 300 < one[0] and np.isclose(one[1] / one[0], 2, atol=0.2) and np.isclose(one[2] / one[1], 4, atol=0.4)
+        # Its repeat is the same word again, not a second unseen one.
+        assert one[1] < score[-1][1] < one[1] + 10
+    far, near = (lattice.text_scores(np.array([0, 1, 0, 2]), np.array([4]), np.array([p, -1.0, -0.5]), np.array([4]), np.array([-np.inf]), 0.0)[0] for p in (-5000.0, -250.0))
+    assert np.isclose(near - far, 4750)
+
+
 def test_lattice_paths_of_repeats_and_phrases():
     """Token by token, phrase by phrase, against the array form."""
     rng = np.random.default_rng(3)
