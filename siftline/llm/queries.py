@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import decontamination, grid_join, lattice, packing, quality, simhash, token_counts, token_files, toxicity, warc
+from siftline.llm import decontamination, grid_join, lattice, license_scan, packing, prefix_trie, quality, simhash, spelling, token_counts, token_files, toxicity, warc
 from siftline.llm.storage import importable, shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,85 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_decontamination")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def _crc32(bytes_sql: str) -> str:
+    """CRC-32 of a list of byte values, in SQL."""
+    bit = "list_reduce(list_prepend(xor(a, b), range(8)), lambda r, i: xor(r >> 1, (r & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_sql}), lambda a, b: {bit}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (SELECT conv_id, {_crc32("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 WHERE pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos >= h
+),
+s AS (
+  SELECT c.conv_id, coalesce(list({{'r': role, 't': text}} ORDER BY part, pos) FILTER (role IS NOT NULL), []) AS seq
+  FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id
+),
+p AS (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM s),
+n AS (
+  SELECT seq[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len(seq)), '') AS ends,
+    CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(any_value(seq[depth].t))) END AS bytes
+  FROM p GROUP BY 1, 2
+),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT path, unnest(range(0, depth + 1)) AS j, n_children, (n_convs - 1) * bytes AS saved FROM m),
+b AS (SELECT path[1:j] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM u GROUP BY 1)
+SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children::BIGINT AS n_children, b.n_leaves,
+  b.saved_tokens::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN b USING (path) LEFT JOIN m up ON m.depth > 0 AND up.path = m.path[1:m.depth - 1]
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.with_shared_openings(table(spark, sf_dir, "conversations"), group=5, most=9)
+    return prefix_trie.digests(prefix_trie.prefix_trie(turns))
+
+
+@query("op12_license_scan")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+_UTF8 = "flatten(list_transform(string_split(d || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))"
+OP13_SQL = rf"""
+WITH RECURSIVE l AS (
+  SELECT d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS run FROM documents)
+),
+h AS (SELECT run, {_crc32(_UTF8)} AS h FROM l),
+o AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, count(*) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+x AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM w)),
+e AS (SELECT DISTINCT x.word AS a, w.word AS b FROM x JOIN w ON x.cut = w.word),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION ALL SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+),
+best AS (
+  SELECT a AS word, w.word AS form, w.n AS form_n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, w.word) AS nth
+  FROM near JOIN w ON near.b = w.word
+),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+  FROM w LEFT JOIN best ON w.word = best.word AND nth = 1
+),
+r AS (SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL),
+z AS (SELECT r.word, r.root FROM r JOIN f ON r.root = f.word WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z USING (word)
+"""
+
+
+@query("op13_spelling", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
