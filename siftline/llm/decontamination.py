@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.storage import stored, text_or_empty
+from siftline.llm.storage import free_name, stored, text_or_empty
 from siftline.operators.once import compute_once
 
 WIDTH = 5
@@ -209,6 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, as they came."""
-    held = contaminated(docs, benchmark).select(F.col("doc_id").alias("_held_id"), F.col("text_hash").alias("_held_hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_held_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_held_hash"))
+    held_id, held_hash = free_name(docs, "held_id"), free_name(docs, "held_hash")
+    held = contaminated(docs, benchmark).select(F.col("doc_id").alias(held_id), F.col("text_hash").alias(held_hash)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(held_id)) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col(held_hash))
     return docs.join(held, same, "left_anti")

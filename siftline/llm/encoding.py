@@ -15,8 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Distinct parts that a worker process keeps before its cache starts afresh.
-CACHE = 600_000
+from siftline.llm.storage import held
+
+#: Distinct parts, and their bytes, that a worker process keeps before its cache
+#: starts afresh. A part costs its letters, its ids and some 400 bytes of tables.
+CACHE, CACHE_BYTES, PART_BYTES = 600_000, 256 << 20, 400
 #: Adjacent white space, and white space other than blanks and line ends.
 _JOINED = ("  ", " \n", "\n ")
 _OTHER_SPACE = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
@@ -64,6 +67,7 @@ class Encoder:
         self.index, self.ids, self.ends = _Index(), array("I"), array("q", [0])
         #: A word and the same word before a comma share their merge.
         self.pieces: dict[str, list[int]] = {}
+        self.size = 0
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -91,6 +95,7 @@ class Encoder:
         for part in self.index.new:
             self.ids.extend(self._of_part(part))
             self.ends.append(len(self.ids))
+            self.size += PART_BYTES + 2 * len(part)
         self.index.new = []
 
     @staticmethod
@@ -121,7 +126,7 @@ class Encoder:
 
         A null is an empty text. There is one more start than there are texts.
         """
-        if len(self.index) > CACHE or len(self.pieces) > CACHE:
+        if len(self.index) > CACHE or self.size > CACHE_BYTES:
             self._clear()
         numbers, counts, known = array("i"), [0], self.index.__getitem__
         for text in texts:
@@ -137,7 +142,6 @@ class Encoder:
         return ids[at], total[counts]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder and cache for each worker process and vocabulary."""
-    return Encoder(path)
+    """One encoder and cache for each worker process, until another operator runs."""
+    return held(f"encoder {path}", lambda: Encoder(path))

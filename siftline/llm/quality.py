@@ -22,10 +22,10 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.storage import fold, free_name, labelled, stored, text_or_empty, with_scores
+from siftline.llm.storage import fold, free_name, from_texts, labelled, stored, with_scores
 
 FEATURES = 224
 RIDGE = 1e-3
@@ -92,17 +92,20 @@ class Model:
         return np.clip(np.interp(self.raw(stats), self.knots, self.levels), 0, 1)
 
 
-def statistics_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, stats)`` of every row (stored)."""
+def _measured(texts: list[str]) -> pa.Array:
+    found = np.array([statistics(t) for t in texts]).reshape(-1, WIDTH)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * WIDTH), pa.array(found.ravel()))
 
-    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([statistics(t.as_py()) for t in batch.column(1)]).reshape(-1, WIDTH)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * WIDTH), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "stats"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return stored(chosen.mapInArrow(measure, "doc_id long, stats array<double>"))
+def with_statistics(docs: DataFrame, name: str = "stats") -> DataFrame:
+    """The documents, each with the statistics of its text (stored)."""
+    return stored(docs.withColumn(name, from_texts("text", "array<double>", lambda: _measured)))
+
+
+def statistics_table(docs: DataFrame) -> DataFrame:
+    """``(doc_id, stats)`` of every row (stored)."""
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stored(chosen.select("doc_id", from_texts("text", "array<double>", lambda: _measured).alias("stats")))
 
 
 def _matrix(batch: pd.DataFrame) -> np.ndarray:
@@ -176,14 +179,19 @@ def fit(stats: DataFrame, labels: DataFrame, target: str = "quality", folds: int
     return model
 
 
-def scores(stats: DataFrame, model: Model, folds: int = 5, held_fold: int = 0) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row."""
+def score_of(stats: str, model: Model) -> Column:
+    """The score of statistics, a vector at a time."""
 
-    def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": model.score(_matrix(batch))})
+            yield pa.array(model.score(batch.flatten().to_numpy().reshape(-1, WIDTH)), pa.float64())
+
+    return F.arrow_udf(run, "double").asNondeterministic()(F.col(stats))
 
-    scored = stats.mapInPandas(each, "doc_id long, score double")
+
+def scores(stats: DataFrame, model: Model, folds: int = 5, held_fold: int = 0) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row."""
+    scored = stats.select("doc_id", score_of("stats", model).alias("score"))
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_fold).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -195,3 +203,14 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
     name = free_name(docs, "quality_score")
     return with_scores(docs, "text", name, scorer).filter(F.col(name) >= THRESHOLD).select(*docs.columns)
+
+
+def fit_and_keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``keep_good`` by a model fitted to the same documents.
+
+    Texts are measured once; the fit and the scores read the stored statistics.
+    """
+    stats, score = free_name(docs, "stats"), free_name(docs, "quality_score")
+    measured = with_statistics(docs, stats)
+    model = fit(measured.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stats).alias("stats")), labels)
+    return measured.withColumn(score, score_of(stats, model)).filter(F.col(score) >= THRESHOLD).select(*docs.columns)

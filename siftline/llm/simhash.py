@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.components import components
-from siftline.llm.storage import stored, text_or_empty
+from siftline.llm.storage import free_name, from_texts, stored, text_or_empty
 
 LOW_BITS = 0x5555555555555555
 #: Segments of each group of dimensions; a cell leaves out two of the six groups.
@@ -117,10 +117,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """One document of each group, that with the smallest id, as one row.
+    """One row of each group of fingerprints that links tie together.
 
-    Of repeated rows of that id any one stays; rows without an id all stay.
+    The row with the smallest id stays, and the smallest hash of its text where an
+    id has several texts; of rows equal in both, any one. Ids tie nothing here:
+    different texts of one id are different documents. Rows without an id are
+    compared with each other only, and one of each group of them stays too.
     """
-    chosen = near_duplicates(docs, shingle, distance).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    names = [free_name(docs, n) for n in ("key_id", "key_null", "key_hash")]
+    known = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").cast("long").isNull(), F.xxhash64(text_or_empty())]
+    key = [column.alias(name) for column, name in zip(known, names)]
+    prints = from_texts("text", "long", lambda: lambda texts: pa.array([fingerprint(t, shingle) for t in texts], pa.int64()))
+    rows = stored(docs.select(*key, prints.alias("fp")))
+    first = F.min(F.struct(names[0], names[2])).alias("first")
+    distinct = stored(rows.groupBy("fp", names[1]).agg(first))
+    tied = components(links(distinct.select("fp", F.col("fp").alias("id")).distinct(), distance)).withColumnRenamed("id", "fp")
+    classes = distinct.join(tied, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"), names[1]).agg(F.min("first").alias("first"))
+    chosen = classes.select(names[1], *[F.col(f"first.{n}").alias(n) for n in (names[0], names[2])])
+    # Repeated rows go first, within each task before the only shuffle of texts.
+    single = docs.select("*", *key).dropDuplicates(names)
+    return single.join(chosen, names, "left_semi").select(*[single[c] for c in docs.columns])

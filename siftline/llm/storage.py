@@ -5,23 +5,32 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 #: White space of the contracts' word pattern, as a Java and RE2 class.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a Python worker turns into strings at once.
+SLICE_BYTES = 2 << 20
+_HELD: dict[str, object] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``.
 
-    Only a session where that is unset (tests on one machine) gets a local one,
-    which then becomes the session's checkpoint folder.
+    Only a session on one machine (tests) may leave that unset; it gets a local
+    folder, which then becomes the session's checkpoint folder. On a cluster a
+    local folder would lose rows, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="siftline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -66,21 +75,49 @@ def free_name(frame: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def with_scores(frame: DataFrame, text: str, name: str, scorer) -> DataFrame:
-    """Add a double column from whole texts, batch by batch, keeping every row.
+def held(name: str, make: Callable[[], object] | None = None):
+    """What a worker process keeps between tasks: one operator's cache at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        if make is None:
+            return None
+        _HELD[name] = make()
+    return _HELD[name]
 
-    ``scorer()`` is called once per task and gives ``texts -> array``.
+
+def slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The strings of an array, some megabytes at a time."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        size = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, size + SLICE_BYTES, side="right")))
+        yield texts.slice(start, stop - start).to_pylist()
+        start = stop
+
+
+def from_texts(text: str, kind: str, task: Callable[[], Callable[[list[str]], pa.Array]]) -> Column:
+    """A column worked out from whole texts; nothing else goes to Python.
+
+    ``task()`` is called once per task and gives ``texts -> array``.
     """
-    import pyarrow as pa
 
-    given = free_name(frame, "given_text")
-    schema = StructType(list(frame.schema.fields)).add(name, "double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("")
+        work = task()
+        for texts in batches:
+            parts = [work(part) for part in slices(texts)]
+            yield pa.concat_arrays(parts) if parts else work([])
+
+    return F.arrow_udf(run, kind).asNondeterministic()(text_or_empty(text))
+
+
+def with_scores(frame: DataFrame, text: str, name: str, scorer: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """Add a double column from whole texts, keeping every row."""
 
-    def run(batches):
+    def task():
         score = scorer()
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(score(texts), pa.float64())], names=[f.name for f in schema])
+        return lambda texts: pa.array(score(texts), pa.float64())
 
-    return frame.withColumn(given, text_or_empty(text)).mapInArrow(run, schema)
+    return frame.withColumn(name, from_texts(text, "double", task))

@@ -1,14 +1,21 @@
 """Toxicity scores from a bidirectional gated recurrent network.
 
 Words enter as a hashed word vector and the mean of their hashed character
-three- and four-grams. A recurrent network reads windows of words in both
-directions; attention pools its states to one logit per window. A text's score
-is that of its most toxic window, over all overlapping windows of the whole text.
-
-Training is numpy on the driver, on a documented bounded sample of labelled rows
-(``SAMPLE`` of each label, by hash, whole texts); a
-logistic fit with the label's true share turns logits into probabilities. Scoring
-is a scan of all rows without a shuffle.
+three- and four-grams. A recurrent network reads words in both directions;
+attention pools the states of a window of 32 words to one logit. A text's score
+is that of its most toxic window, over all overlapping windows of the whole text,
+one starting at each word (a text of up to 32 words is one window).
+
+Neighbouring windows share the recurrence: it starts afresh at every 24th word
+and runs on for 32, and a word's state is taken where at least 8 words were read
+before it, in that direction, or all to the text's end. What attention needs is
+then two numbers a word, whose sums slide over the text.
+
+Training is numpy on the driver, on a documented bounded sample of labelled rows:
+``SAMPLE`` of each label, by hash, one text an id, whole up to ``PIECE_CHARS`` x
+``PIECES`` letters and that many pieces by hash beyond. A logistic fit with the
+label's true share turns logits into probabilities. Scoring is a scan of all rows
+and whole texts without a shuffle.
 
 Null texts are empty and score as one empty window. Null ids are in the fold of
 the empty text and are scored. Repeated rows are scored each. Without labels of
@@ -20,6 +27,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,12 +39,15 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 10
 WORD_ROWS, CHAR_ROWS = 4096, 8192
 SAMPLE = 2500
+#: Letters that a sampled text brings to the driver at most: pieces of so many.
+PIECE_CHARS, PIECES = 4096, 16
 #: Epochs, but as many as make ``STEPS`` steps on small samples.
 EPOCHS, STEPS, BATCH, RATE = 5, 400, 64, 0.015
 THRESHOLD = 0.3
 SEED = 11
-#: Words and windows handled at once, and words whose inputs a task keeps.
-BLOCK_WORDS, BLOCK_WINDOWS, CACHE = 400_000, 2048, 300_000
+#: Words and windows handled at once, and words whose inputs a task keeps (some
+#: 300 bytes each).
+BLOCK_WORDS, BLOCK_WINDOWS, CACHE = 100_000, 2048, 150_000
 _SPACE = bytes(range(33)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters to lower case; punctuation and white space to blanks.
 _PLAIN = bytes.maketrans(bytes(range(65, 91)) + _SPACE, bytes(range(97, 123)) + b" " * len(_SPACE))
@@ -136,9 +147,51 @@ class Network:
         pooled = (states * weight).sum(axis=2)
         return weight, pooled, (self.output * pooled).sum(axis=(0, 1)) + self.offset[0]
 
-    def logits(self, gates: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        parts = [windows[i : i + BLOCK_WINDOWS] for i in range(0, len(windows), BLOCK_WINDOWS)]
-        return np.concatenate([self.pool(self.read(gates, w), w)[2] for w in parts]) if parts else np.zeros(0)
+    def signals(self, states: np.ndarray, direction: int) -> tuple[np.ndarray, np.ndarray]:
+        """A direction's share of each state's energy and output: WINDOW x windows."""
+        return (self.attention[direction] * states[direction]).sum(axis=0), (self.output[direction, :, :, None] * states[direction]).sum(axis=0)
+
+    def sliding(self, gates: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits of all overlapping windows of texts given as word numbers, where
+        each begins, and where each text's logits begin."""
+        # An empty text is one word of padding.
+        begins = np.concatenate([[0], np.cumsum(counts)])
+        counts_now = np.maximum(counts, 1)
+        if (counts == 0).any():
+            numbers = np.insert(numbers, begins[:-1][counts == 0], 0)
+            begins = np.concatenate([[0], np.cumsum(counts_now)])
+        windows, first = windows_of(numbers, counts_now)
+        n_windows = np.diff(first)
+        nth = np.arange(first[-1]) - np.repeat(first[:-1], n_windows)
+        last = nth == np.repeat(n_windows, n_windows) - 1
+        starts = np.repeat(begins[:-1], n_windows) + nth * STRIDE
+        ends = np.repeat(begins[1:], n_windows)
+        energy, output = np.zeros(begins[-1]), np.full(begins[-1], float(self.offset[0]))
+        place = np.arange(WINDOW)[:, None]
+        for at in range(0, len(windows), BLOCK_WINDOWS):
+            part = slice(at, at + BLOCK_WINDOWS)
+            states = self.read(gates, windows[part])
+            there = starts[part] + place
+            inside = there < ends[part]
+            for direction, taken in ((0, (place >= WINDOW - STRIDE) | (nth[part] == 0)), (1, (place < STRIDE) | last[part])):
+                e, o = self.signals(states, direction)
+                chosen = inside & taken
+                energy[there[chosen]] += e[chosen]
+                output[there[chosen]] += o[chosen]
+        weight = np.exp(energy)
+        sums, size = (weight * output, weight), 1
+        while size < WINDOW:  # sums over twice as many words each time
+            sums = tuple(np.concatenate([s[:-size] + s[size:], s[len(s) - size :]]) if len(s) > size else s for s in sums)
+            size *= 2
+        per_text = np.maximum(counts_now - WINDOW, 0) + 1
+        first = np.concatenate([[0], np.cumsum(per_text)])
+        at = np.repeat(begins[:-1], per_text) + np.arange(first[-1]) - np.repeat(first[:-1], per_text)
+        found = sums[0][at] / sums[1][at]
+        # Short texts are one window of all their words.
+        short = np.flatnonzero(counts_now < WINDOW)
+        whole = [np.add.reduceat(x, begins[:-1]) for x in (weight * output, weight)]
+        found[first[short]] = whole[0][short] / whole[1][short]
+        return found, at, first
 
     def probability(self, logits: np.ndarray) -> np.ndarray:
         a, b = self.calibration
@@ -146,8 +199,9 @@ class Network:
 
 
 def windows_of(numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All overlapping windows of texts given as word numbers (from 1; 0 pads),
-    and where each text's windows begin. Every text has at least one."""
+    """What the network reads: every ``STRIDE`` words the next ``WINDOW`` of texts
+    given as word numbers (from 1; 0 pads), and where each text's begin. Every
+    text has at least one."""
     per_text = np.maximum(-(-(counts - WINDOW) // STRIDE), 0) + 1
     first = np.concatenate([[0], np.cumsum(per_text)])
     begins = np.concatenate([[0], np.cumsum(counts)])
@@ -168,7 +222,7 @@ class Scorer:
     def _clear(self) -> None:
         self.index: dict[bytes, int] = defaultdict()
         self.index.default_factory = lambda: len(self.index) + 1
-        self.gates = self.network.gates(np.zeros((0, WORD_DIM + CHAR_DIM), np.float32))
+        self.gates = np.zeros((4096, 6 * HIDDEN), np.float32)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self.network.constant is not None:
@@ -189,11 +243,14 @@ class Scorer:
         counts = np.array([len(t) for t in texts], np.int64)
         numbers = np.fromiter((n for t in texts for n in map(known, t)), np.int64, int(counts.sum()))
         if len(self.index) > before:
-            new = list(self.index)[before:]
-            self.gates = np.vstack([self.gates, self.network.gates(self.network.word_vectors(features_of(new)))[1:]])
-        windows, first = windows_of(numbers, counts)
-        logits = self.network.logits(self.gates, windows)
-        return self.network.probability(np.maximum.reduceat(logits, first[:-1])) if len(texts) else np.zeros(0)
+            new = list(islice(self.index, before, None))
+            while len(self.gates) <= len(self.index):
+                self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
+            self.gates[before + 1 : len(self.index) + 1] = self.network.gates(self.network.word_vectors(features_of(new)))[1:]
+        if not texts:
+            return np.zeros(0)
+        logits, _, first = self.network.sliding(self.gates, numbers, counts)
+        return self.network.probability(np.maximum.reduceat(logits, first[:-1]))
 
 
 def _backward(net: Network, steps: list, states, windows, weight, pooled, slope) -> tuple[dict, np.ndarray]:
@@ -253,33 +310,49 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Network:
         found = words_of(text)
         counts.append(len(found))
         words.append(np.fromiter(map(index.__getitem__, found), np.int64, len(found)))
-    windows, first = windows_of(np.concatenate(words), np.array(counts))
-    windows, vocabulary = windows.astype(np.int32), list(index)
+    numbers, counts = np.concatenate(words), np.array(counts)
+    vocabulary = list(index)
     blocks = [features_of(vocabulary[i : i + 20_000]) for i in range(0, len(vocabulary), 20_000)]
     features = [(own.astype(np.int32), rows.astype(np.int32), begins) for own, rows, begins in blocks]
     optimiser, labels = _Adam(net), labels.astype(np.float32)
-    sizes = np.diff(first)
+    begins = np.concatenate([[0], np.cumsum(counts)])
     epochs = max(EPOCHS, -(-STEPS // -(-int(len(labels) + (labels == 0).sum()) // BATCH)))
+
+    def windows_at(starts: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """Windows of the owners' words from these places on, padded."""
+        there = starts[:, None] + np.arange(WINDOW)
+        return np.where(there < begins[owners + 1][:, None], numbers[np.minimum(there, max(len(numbers) - 1, 0))] if len(numbers) else 0, 0)
+
+    everyone = np.arange(len(counts))
+    owners = np.concatenate([everyone, everyone[labels == 0]])
+    goals = np.concatenate([labels, labels[labels == 0]])
     for epoch in range(epochs):
-        drawn = first[:-1] + (random.random(len(sizes)) * sizes).astype(int)
-        top = _top(net, features, windows, first)[1] if epoch else drawn
+        drawn = begins[:-1] + (random.random(len(counts)) * (np.maximum(counts - WINDOW, 0) + 1)).astype(int)
+        top = _top(net, features, numbers, counts)[1] if epoch else drawn
         picks = np.concatenate([top, drawn[labels == 0]])
-        goals = np.concatenate([labels, labels[labels == 0]])
         order = random.permutation(len(picks))
         for start in range(0, len(order), BATCH):
             batch = order[start : start + BATCH]
-            _learn(net, optimiser, vocabulary, windows[picks[batch]], goals[batch], random, RATE * (1 - epoch / epochs) + 1e-4)
-    net.calibration = calibrated(_top(net, features, windows, first)[0], labels, share)
+            _learn(net, optimiser, vocabulary, windows_at(picks[batch], owners[batch]), goals[batch], random, RATE * (1 - epoch / epochs) + 1e-4)
+    net.calibration = calibrated(_top(net, features, numbers, counts)[0], labels, share)
     return net
 
 
-def _top(net: Network, features: list[tuple], windows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's greatest logit and the window that has it."""
-    vectors = np.concatenate([net.word_vectors(block) for block in features])
-    logits = net.logits(net.gates(vectors), windows)
-    top = np.maximum.reduceat(logits, first[:-1])
-    at = np.flatnonzero(logits == np.repeat(top, np.diff(first)))
-    return top, at[np.searchsorted(at, first[:-1])]
+def _top(net: Network, features: list[tuple], numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's greatest logit and where among all words its window begins."""
+    vectors = np.concatenate([net.word_vectors(block) for block in features]) if features else np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
+    gates, begins = net.gates(vectors), np.concatenate([[0], np.cumsum(counts)])
+    best, at, text = [], [], 0
+    while text < len(counts):  # some texts at a time
+        until = max(text + 1, int(np.searchsorted(begins, begins[text] + BLOCK_WORDS, side="right")) - 1)
+        some = counts[text:until]
+        logits, _, first = net.sliding(gates, numbers[begins[text] : begins[until]], some)
+        top = np.maximum.reduceat(logits, first[:-1])
+        hits = np.flatnonzero(logits == np.repeat(top, np.diff(first)))
+        best.append(top)
+        at.append(begins[text:until] + hits[np.searchsorted(hits, first[:-1])] - first[:-1])
+        text = until
+    return np.concatenate(best), np.concatenate(at)
 
 
 def _learn(net, optimiser, vocabulary, windows, goals, random, rate) -> None:
@@ -337,8 +410,14 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int =
         some = marked.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         sample = some if sample is None else sample.unionByName(some)
     # At most 2 * SAMPLE ids: the bound that makes this broadcast safe.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = sorted(((r["doc_id"], r["label"], r["text"]) for r in texts.select("doc_id", "label", "text").collect()))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
+    n_pieces = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / PIECE_CHARS).cast("int")
+    some = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), n_pieces), lambda i: F.struct(F.xxhash64("doc_id", i).alias("by"), i.alias("i")))), 1, PIECES)
+    pieces = F.transform(F.array_sort(F.transform(some, lambda p: p["i"])), lambda i: F.substring("text", i * PIECE_CHARS + 1, F.lit(PIECE_CHARS)))
+    short = F.when(n_pieces < PIECES, F.col("text")).otherwise(F.array_join(pieces, " "))
+    # One text an id, that of the least hash, however many rows have it.
+    texts = named.select("doc_id", "label", F.struct(F.xxhash64("text").alias("by"), short.alias("text")).alias("t")).groupBy("doc_id", "label").agg(F.min("t").alias("t"))
+    rows = sorted(((r["doc_id"], r["label"], r["text"]) for r in texts.select("doc_id", "label", "t.text").toLocalIterator()))
     found = np.array([r[1] for r in rows])
     if len(rows) < 2 or found.min() == found.max():
         net = Network.fresh(np.random.default_rng(SEED))

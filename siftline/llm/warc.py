@@ -235,7 +235,10 @@ def read_archives(spark: SparkSession, archives: DataFrame, root: str) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return archives.repartition("archive").mapInArrow(read, READ_SCHEMA)
+    # By range and with their count as number of parts: paths are too short for
+    # Spark to see that each stands for a whole archive.
+    parts = max(1, archives.count())
+    return archives.repartitionByRange(parts, "archive").mapInArrow(read, READ_SCHEMA)
 
 
 def round_trip(pages: DataFrame, payload: str = "html") -> DataFrame:
