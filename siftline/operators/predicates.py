@@ -37,24 +37,26 @@ def insufficient_overlap(text: Column, profile: Profile, now: datetime) -> Colum
 
     No stated hours, no zone nearby or an unknown user zone: no verdict.
     """
+    return bind(stated_overlap(text), lambda stated: insufficient(stated, profile, now))
+
+
+def insufficient(stated: Column, profile: Profile, now: datetime) -> Column:
+    """The same from a requirement that is already parsed."""
     hours = _available_hours(profile, now)
     if not hours:
         return F.lit(None).cast("string")
-
-    def message(stated: Column) -> Column:
-        zone, required = stated["zone"], stated["hours"].cast("int")
-        said = F.concat(
-            F.lit("Requires "), required.cast("string"), F.lit("h overlap with "), F.upper(zone),
-            F.lit(f"; your timezone ({profile.timezone}) gives about "),
-            lookup(zone, {k: f"{v:.1f}" for k, v in hours.items()}),
-            F.lit("h of standard working-hour overlap"),
-        )
-        return F.when(lookup(zone, hours, "double") < required, said)
-
-    return bind(_stated(text), message)
-
-
-def _stated(text: Column) -> Column:
+    zone, required = stated["zone"], stated["hours"].cast("int")
+    said = F.concat(
+        F.lit("Requires "), required.cast("string"), F.lit("h overlap with "), F.upper(zone),
+        F.lit(f"; your timezone ({profile.timezone}) gives about "),
+        lookup(zone, {k: f"{v:.1f}" for k, v in hours.items()}),
+        F.lit("h of standard working-hour overlap"),
+    )
+    return F.when(lookup(zone, hours, "double") < required, said)
+
+
+def stated_overlap(text: Column) -> Column:
+    """``struct<hours, zone>``: what a text asks for, whoever reads it."""
     return F.struct(clocks.required_hours(text).alias("hours"), clocks.stated_zone(text).alias("zone"))
 
 
@@ -63,24 +65,25 @@ def sufficient_overlap(text: Column, profile: Profile, now: datetime) -> Column:
 
     That includes hours stated for a zone nobody recognises.
     """
-    available = _available_hours(profile, now)
+    return bind(stated_overlap(text), lambda stated: sufficient(stated, profile, now))
 
-    def message(stated: Column) -> Column:
-        said = F.concat(F.lit("Stated overlap requirement of "), stated["hours"], F.lit("h is satisfiable"))
-        if not available:
-            return said
-        short = lookup(stated["zone"], available, "double") < stated["hours"].cast("int")
-        return F.when(~F.coalesce(short, F.lit(False)), said)
 
-    return bind(_stated(text), message)
+def sufficient(stated: Column, profile: Profile, now: datetime) -> Column:
+    """The same from a requirement that is already parsed."""
+    available = _available_hours(profile, now)
+    said = F.concat(F.lit("Stated overlap requirement of "), stated["hours"], F.lit("h is satisfiable"))
+    if not available:
+        return said
+    short = lookup(stated["zone"], available, "double") < stated["hours"].cast("int")
+    return F.when(~F.coalesce(short, F.lit(False)), said)
 
 
-def contract_mismatch(profile: Profile) -> Column:
+def contract_mismatch(profile: Profile, contract_type: Column | None = None) -> Column:
     """The listing's known contract type is none the user wants."""
     wanted = profile.contract_types
     if not wanted:
         return F.lit(None).cast("string")
-    actual = F.col("contract_type")
+    actual = F.col("contract_type") if contract_type is None else contract_type
     accepted = ", ".join(w.replace("_", " ") for w in wanted)
     return F.when(
         (actual != "unknown") & ~actual.isin(*wanted),
@@ -88,12 +91,12 @@ def contract_mismatch(profile: Profile) -> Column:
     )
 
 
-def unsupported_currency(profile: Profile) -> Column:
+def unsupported_currency(profile: Profile, currency: Column | None = None) -> Column:
     """Pay is quoted in a currency the user did not accept."""
     wanted = sorted({c.upper() for c in profile.currencies})
     if not wanted:
         return F.lit(None).cast("string")
-    actual = F.upper(F.col("compensation.currency"))
+    actual = F.upper(F.col("compensation.currency") if currency is None else currency)
     return F.when(
         (actual != "") & ~actual.isin(*wanted),
         F.concat(F.lit("Pay quoted in "), actual, F.lit(f"; you accept {', '.join(wanted)}")),

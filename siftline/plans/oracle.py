@@ -208,8 +208,9 @@ def clock_columns(t: str) -> str:
 
 
 def shared_hours(a: str, b: str) -> str:
-    shifts = [f"least(18 - {a}, 18 - {b} + {s}) - greatest(9 - {a}, 9 - {b} + {s})" for s in (-24, 0, 24)]
-    return f"greatest(0, {', '.join(shifts)})"
+    """Half hours of the day, in UTC, that lie in both workdays, counted one by one."""
+    inside = " AND ".join(f"(s / 2.0 + {o} + 48) % 24 >= 9 AND (s / 2.0 + {o} + 48) % 24 < 18" for o in (a, b))
+    return f"(CASE WHEN ({a}) IS NOT NULL AND ({b}) IS NOT NULL THEN len(list_filter(range(48), lambda s: {inside})) / 2.0 END)"
 
 
 # Offsets at NOW, which lies outside summer time on both sides.
@@ -221,21 +222,21 @@ MY_OFFSET = "5.5"
 SEARCHABLE = "concat_ws(chr(10), title, company, location_text, nullif(description, ''))"
 
 
-def _message() -> str:
+def _message(zone: str) -> str:
     return (
         "'Requires ' || CAST(CAST(required_hours AS INTEGER) AS VARCHAR) || 'h overlap with ' || upper(stated_zone) || "
-        f"'; your timezone ({PROFILE.timezone}) gives about ' || format('{{:.1f}}', CAST(available AS DOUBLE)) || "
+        f"'; your timezone ({zone}) gives about ' || format('{{:.1f}}', CAST(available AS DOUBLE)) || "
         "'h of standard working-hour overlap'"
     )
 
 
-def dimension_rows(relation: str) -> str:
+def dimension_rows(relation: str, profile=PROFILE, offset: str = MY_OFFSET) -> str:
     """``(id, ord, dimension, eligibility, rule_id, evidence, matched_text, source_field)``."""
     rules = load_rules()
     parts = []
     fields = "title,company,location_text,description"
     for i, dim in enumerate(rules.dimensions):
-        active = [r for r in rules.enabled if r.dimension == dim and not r.exempts(PROFILE)]
+        active = [r for r in rules.enabled if r.dimension == dim and not r.exempts(profile)]
         if all(r.predicate is None for r in active):
             matches = ", ".join(f"{first_phrase('stext', r.any_phrase)} AS m{j}" for j, r in enumerate(active))
 
@@ -258,14 +259,14 @@ def dimension_rows(relation: str) -> str:
                 "said AS evidence, said AS matched_text, "
                 "CASE WHEN required_hours IS NULL THEN NULL WHEN short THEN 'timezone.insufficient_overlap' ELSE 'timezone.sufficient_overlap' END AS source_field "
                 "FROM (SELECT *, CASE WHEN required_hours IS NULL THEN NULL "
-                f"WHEN short THEN {_message()} "
+                f"WHEN short THEN {_message(profile.timezone)} "
                 "ELSE 'Stated overlap requirement of ' || required_hours || 'h is satisfiable' END AS said "
                 "FROM (SELECT *, coalesce(available < CAST(required_hours AS INTEGER), false) AS short "
-                f"FROM (SELECT *, {shared_hours(MY_OFFSET, case('stated_zone', OFFSETS, quote=False))} AS available "
+                f"FROM (SELECT *, {shared_hours(offset, case('stated_zone', OFFSETS, quote=False))} AS available "
                 f"FROM (SELECT id, {clock_columns('stext')} FROM {relation}))))"
             )
         else:
-            wanted = sorted(PROFILE.currencies)
+            wanted = sorted(profile.currencies)
             fires = f"pay_currency IS NOT NULL AND NOT list_contains({strings(wanted)}, pay_currency)"
             said = f"'Pay quoted in ' || pay_currency || '; you accept {', '.join(wanted)}'"
             parts.append(

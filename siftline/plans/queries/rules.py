@@ -10,10 +10,12 @@ from siftline.functions import clocks
 from siftline.functions.patterns import phrase as phrase_pattern
 from siftline.operators import eligibility as E
 from siftline.operators import predicates as P
+from siftline.operators import profiles as PR
 from siftline.operators.rules import RuleSet, load_rules, parse_rules
 from siftline.plans import listing_data as L
 from siftline.plans import oracle as O
 from siftline.plans.registry import query
+from siftline.plans.scratch import scratch_dir
 
 DIMS = "id, dimension, eligibility, rule_id, evidence, matched_text, source_field"
 US_PROFILE = replace(L.PROFILE, country="US", timezone="America/Los_Angeles", work_authorisation=("US",))
@@ -300,3 +302,24 @@ def stated_zone(spark, sf):
     return found.filter(F.col("required_hours").isNotNull())
 
 
+
+
+BERLIN_PROFILE = replace(L.PROFILE, country="DE", timezone="Europe/Berlin", currencies=("EUR",), work_authorisation=("EU",))
+MANY = {"india": (L.PROFILE, O.MY_OFFSET), "us": (US_PROFILE, "-8"), "berlin": (BERLIN_PROFILE, "1"), "india_too": (L.PROFILE, O.MY_OFFSET)}
+
+
+@query(
+    "resolve_profiles",
+    O.with_(
+        " UNION ALL ".join(
+            f"SELECT {O.q(name)} AS profile, {DIMS} FROM ({O.dimension_rows('listings', profile, offset)}) WHERE eligibility <> 'unknown'"
+            for name, (profile, offset) in MANY.items()
+        ),
+        "listings",
+    ),
+)
+def resolve_profiles(spark, sf):
+    """Four profiles of three classes from one scan of the texts."""
+    rows, path = L.listings(spark, sf), scratch_dir(spark)
+    PR.hit_table(rows, load_rules()).write.parquet(path)
+    return PR.resolve_profiles(rows, {n: p for n, (p, _) in MANY.items()}, load_rules(), L.NOW, hits=spark.read.parquet(path))

@@ -11,7 +11,12 @@ from pyspark.sql import SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """A new path under the cluster's shared checkpoint folder.
 
-    Only a session without that setting, as in tests, gets a local folder.
+    Only a session on one machine, as in tests, may leave that unset and gets a
+    local folder; on a cluster other machines would not see it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="siftline-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
