@@ -107,7 +107,7 @@ class Network:
         own, rows, begins = features
         sums = np.add.reduceat(self.char[rows], begins) if len(own) else np.zeros((0, CHAR_DIM), np.float32)
         sizes = np.diff(np.append(begins, len(rows)))[:, None]
-        return np.hstack([self.word[own], sums / np.maximum(sizes, 1)])
+        return np.hstack([self.word[own], (sums / np.maximum(sizes, 1)).astype(np.float32)])
 
     def gates(self, vectors: np.ndarray) -> np.ndarray:
         """What each word adds to the gates of both directions, one row per word;
@@ -340,8 +340,11 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Network:
 
 def _top(net: Network, features: list[tuple], numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's greatest logit and where among all words its window begins."""
-    vectors = np.concatenate([net.word_vectors(block) for block in features]) if features else np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
-    gates, begins = net.gates(vectors), np.concatenate([[0], np.cumsum(counts)])
+    gates, begins = np.zeros((1 + sum(len(block[0]) for block in features), 6 * HIDDEN), np.float32), np.concatenate([[0], np.cumsum(counts)])
+    filled = 1
+    for block in features:
+        gates[filled : filled + len(block[0])] = net.gates(net.word_vectors(block))[1:]
+        filled += len(block[0])
     best, at, text = [], [], 0
     while text < len(counts):  # some texts at a time
         until = max(text + 1, int(np.searchsorted(begins, begins[text] + BLOCK_WORDS, side="right")) - 1)
