@@ -15,6 +15,7 @@ from siftline.plans.registry import query
 from siftline.plans.scratch import scratch_dir
 from siftline.sources import sinks
 from siftline.streaming import ingest as stream
+from siftline.streaming.merge_store import MergeStore
 
 LATER = L.NOW + timedelta(days=7)
 
@@ -236,3 +237,15 @@ def incremental_ingest(spark, sf):
     second.select(*first.columns).write.mode("append").parquet(landing)
     stream.ingest_available(spark, landing, first.schema, store, LATER)
     return _seen(stream.current_listings(spark, store))
+
+
+@query("merge_store", O.with_(_UPSERT, "listings", "listings2"))
+def merge_store(spark, sf):
+    """Two scrapes as generations, compacted, the second one delivered twice."""
+    store = MergeStore(spark, scratch_dir(spark), buckets=8)
+    store.upsert(L.listings(spark, sf), "scrapes", 0)
+    for _ in range(2):
+        store.upsert(_second(spark, sf), "scrapes", 1)
+    store.compact(most_files=1)
+    store.vacuum()
+    return _seen(store.current())

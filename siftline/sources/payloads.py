@@ -23,13 +23,21 @@ def read_landing(spark: SparkSession, root: str) -> DataFrame:
     kind when it is ``stories`` or ``comments``, and a ``.error`` file holds the
     message of a failed fetch. Choosing a source prunes its directories.
     """
-    files = (
-        spark.read.format("text")
-        .option("wholetext", True)
-        .schema("value string, source string, company string")
-        .load(root)
-        .withColumn("payload_id", F.col("_metadata.file_path"))
-    )
+    return _payloads(_whole_files(spark.read).load(root))
+
+
+def stream_landing(spark: SparkSession, root: str, most_files: int | None = None) -> DataFrame:
+    """The same layout as a stream; ``most_files`` bounds what one batch takes."""
+    reader = _whole_files(spark.readStream)
+    return _payloads((reader.option("maxFilesPerTrigger", most_files) if most_files else reader).load(root))
+
+
+def _whole_files(reader):
+    return reader.format("text").option("wholetext", True).schema("value string, source string, company string")
+
+
+def _payloads(loaded: DataFrame) -> DataFrame:
+    files = loaded.withColumn("payload_id", F.col("_metadata.file_path"))
     name = F.col("_metadata.file_name")
     failed = name.endswith(".error")
     return files.select(

@@ -8,15 +8,18 @@ same table, and a batch replayed after a failure changes nothing.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftline.operators.normalise import unique_listings
+from siftline.operators.normalise import complete_raw, unique_listings
 from siftline.operators.snapshots import upsert_snapshot
 from siftline.schema import LISTING
+from siftline.sources import payloads, registry
+from siftline.streaming.merge_store import MergeStore
 
 LOG = "snapshot_log"
 
@@ -87,3 +90,58 @@ def ingest_available(
     )
     run = writer.option("checkpointLocation", place).trigger(availableNow=True).start()
     run.awaitTermination()
+
+
+def take_payloads(store: MergeStore, landed: DataFrame, sources: dict, stream: str, batch: int, now: datetime) -> None:
+    """One batch of landed responses: records to the store, failures aside.
+
+    Names and failures are written under the batch, then the store commits the
+    records. A batch done again overwrites its own folders and commits nothing twice.
+    """
+    if store.done(stream, batch):
+        return
+    # A stream's batches belong to a session of their own.
+    store = replace(store, spark=landed.sparkSession)
+    place = f"stream={stream}/batch={batch}"
+    landed = _not_taken(store, landed, stream)
+    landed.select("payload_id").write.mode("overwrite").parquet(f"{store.root}/taken/{place}")
+    registry.source_problems(landed, sources).write.mode("overwrite").parquet(f"{store.root}/quarantine/{place}")
+    records = complete_raw(registry.union_sources(landed, sources)).drop("raw")
+    store.upsert(unique_listings(records, now, registry.ORDER), stream, batch)
+
+
+def _not_taken(store: MergeStore, landed: DataFrame, stream: str) -> DataFrame:
+    """The responses that no other stream's committed batch has taken.
+
+    Only after a lost checkpoint is there another stream; then its older responses
+    must not come in again, as newer ones may have replaced what they say.
+    """
+    others = sorted({(c["stream"], c["batch"]) for c in store.manifest() if c["kind"] == "batch" and c["stream"] != stream and c["batch"] is not None})
+    if not others:
+        return landed
+    spark = store.spark
+    committed = spark.createDataFrame(others, "stream string, batch bigint")
+    taken = spark.read.schema("payload_id string, stream string, batch bigint").parquet(f"{store.root}/taken")
+    return landed.join(taken.join(committed, ["stream", "batch"], "left_semi").select("payload_id"), "payload_id", "left_anti")
+
+
+def ingest_landing(
+    spark: SparkSession, landing: str, store: MergeStore, sources: dict, now: datetime, checkpoint: str | None = None, most_files: int | None = None
+) -> None:
+    """Take every response that landed since the last call, then stop.
+
+    ``landing`` has the layout of :func:`payloads.read_landing`. After a lost
+    checkpoint a new stream meets everything again and leaves out what is committed.
+    """
+    place = checkpoint or f"{store.root}/stream"
+
+    def take(batch: DataFrame, number: int) -> None:
+        take_payloads(store, batch, sources, stream_id(spark, place), number, now)
+
+    query = payloads.stream_landing(spark, landing, most_files).writeStream.foreachBatch(take)
+    query.option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+
+
+def quarantined(store: MergeStore) -> DataFrame:
+    """Responses that could not be read, with stream and batch."""
+    return store.spark.read.parquet(f"{store.root}/quarantine")
