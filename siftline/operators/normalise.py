@@ -33,6 +33,12 @@ def _reject_reason() -> Column:
     return F.when(F.col("title") == "", F.lit(BLANK_TITLE)).when(~urls.is_web_url(F.col("url")), F.lit(BAD_URL))
 
 
+def usable() -> Column:
+    """Whether a raw row will be kept, as a condition on its title and URL."""
+    title = text.collapse_whitespace(F.coalesce(F.col("title"), F.lit("")))
+    return (title != "") & F.coalesce(urls.is_web_url(urls.canonical_url(F.col("url"))), F.lit(True))
+
+
 def drop_unusable(raw: DataFrame) -> DataFrame:
     """Rows with a title and an http(s) URL. Nothing else is ever dropped here."""
     return with_identity(raw).filter(F.col("reject_reason").isNull()).drop("reject_reason")

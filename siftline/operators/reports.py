@@ -27,8 +27,15 @@ def collect_counts(normalised: DataFrame) -> DataFrame:
     return normalised.agg(F.count("*").alias("fetched"), F.count_distinct("id").alias("unique"))
 
 
-def source_outcomes(configured: DataFrame, fetched: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row per configured source: rows fetched, failed payloads, error, state.
+def source_spans(entries: DataFrame, landed: str = "landed_at") -> DataFrame:
+    """``(source, seconds)``: from a source's first landed response to its last."""
+    at = F.unix_micros(landed)
+    return entries.groupBy("source").agg(((F.max(at) - F.min(at)) / 1_000_000).alias("seconds"))
+
+
+def source_outcomes(configured: DataFrame, fetched: DataFrame, errors: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """One row per configured source: rows fetched, failed payloads, error, state,
+    and with ``spans`` the ``seconds`` its landing took (null without a response).
 
     No rows without an error is its own state, because a broken parser looks
     exactly like that. ``configured`` is ``(source, source_priority)`` and
@@ -38,7 +45,8 @@ def source_outcomes(configured: DataFrame, fetched: DataFrame, errors: DataFrame
     joined = configured.join(counts, "source", "left").join(errors.select("source", "failed_payloads", "error"), "source", "left")
     rows, failed = (F.coalesce(c, F.lit(0)).cast("bigint") for c in ("fetched", "failed_payloads"))
     state = F.when(F.col("error").isNotNull(), F.lit("error")).when(rows == 0, F.lit("empty")).otherwise(F.lit("ok"))
-    return joined.select("source", "source_priority", rows.alias("fetched"), failed.alias("failed_payloads"), "error", state.alias("state"))
+    named = joined.select("source", "source_priority", rows.alias("fetched"), failed.alias("failed_payloads"), "error", state.alias("state"))
+    return named if spans is None else named.join(spans.select("source", "seconds"), "source", "left")
 
 
 def source_health(source_runs: DataFrame, order: str = "run_id") -> DataFrame:

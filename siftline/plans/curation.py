@@ -12,15 +12,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators import funnel, ranking, reports, scoring, snapshots, verification
 from siftline.operators.eligibility import resolve_eligibility
-from siftline.operators.normalise import complete_raw, drop_unusable, unique_listings
+from siftline.operators.normalise import complete_raw, unique_listings, usable
 from siftline.operators.rules import RuleSet
-from siftline.schema import LISTING, Criteria, Profile
+from siftline.schema import ELIGIBILITY, LISTING, Criteria, Profile
 from siftline.sources import registry, sinks
+from siftline.sources.payloads import LANDED
 
 # Fixed value: listings of one prompt.
 BATCH_SIZE = 10
@@ -36,14 +37,26 @@ class Store:
     def path(self, table: str, run: int) -> str:
         return f"{self.root}/{table}/run={run}"
 
-    def write(self, table: str, run: int, rows: DataFrame) -> DataFrame:
+    def write(self, table: str, run: int, rows: DataFrame, **counters: Column) -> DataFrame:
         """Write a stage result and return the stored table.
 
-        A repeated run overwrites its own result only.
+        A repeated run overwrites its own result only. ``counters`` are aggregates
+        gathered while the rows are written; :meth:`counters` reads them.
         """
-        rows.write.mode("overwrite").parquet(self.path(table, run))
+        if not counters:
+            rows.write.mode("overwrite").parquet(self.path(table, run))
+            return self.read(table, run)
+        seen = Observation()
+        observed = rows.observe(seen, *[value.alias(name) for name, value in counters.items()])
+        observed.write.mode("overwrite").parquet(self.path(table, run))
+        found = self.spark.createDataFrame([(name, int(n or 0)) for name, n in seen.get.items()], "name string, n bigint")
+        found.coalesce(1).write.mode("overwrite").json(f"{self.path('counters', run)}/table={table}")
         return self.read(table, run)
 
+    def counters(self, run: int) -> DataFrame:
+        """``(name, n, table)`` of a run: a few rows for each stage."""
+        return self.spark.read.schema("name string, n bigint, table string").json(self.path("counters", run))
+
     def read(self, table: str, run: int) -> DataFrame:
         return self.spark.read.parquet(self.path(table, run))
 
@@ -82,20 +95,30 @@ class Settings:
 
 def store_records(store: Store, run: int, payloads: DataFrame, sources: dict) -> DataFrame:
     """Every record of the run as it arrived, with its raw text: payloads are parsed
-    for it once, and listings, counts and outcomes are read from it."""
-    return store.write("records", run, complete_raw(registry.union_sources(payloads, sources)))
+    for it once, and listings, problems, counts and outcomes are read from it."""
+    readable = F.col("problem").isNull()
+    kept = readable & usable()
+    rows = complete_raw(registry.union_entries(payloads, sources))
+    store.write("records", run, rows, fetched=F.count_if(readable), normalised=F.count_if(kept))
+    return stored_records(store, run)
+
+
+def stored_records(store: Store, run: int) -> DataFrame:
+    return store.read("records", run).filter(F.col("problem").isNull()).drop("problem")
 
 
 def collect(store: Store, run: int, previous: int | None, payloads: DataFrame, sources: dict, now: datetime) -> DataFrame:
     """Landed payloads to the next listings snapshot."""
-    raw = store_records(store, run, payloads, sources).drop("raw")
-    incoming = store.write("incoming", run, unique_listings(raw, now, registry.ORDER))
-    problems = store.write("problems", run, registry.source_problems(payloads, sources))
+    raw = store_records(store, run, payloads, sources).drop("raw", LANDED)
+    incoming = store.write("incoming", run, unique_listings(raw, now, registry.ORDER), deduplicated=F.count(F.lit(1)))
+    entries = store.read("records", run)
+    problems = store.write("problems", run, registry.problems_of(entries))
     fetched = raw.select("source")
+    spans = reports.source_spans(entries) if LANDED in entries.columns else None
     outcomes = reports.source_outcomes(
-        registry.configured(store.spark, sources), fetched, registry.source_errors(problems, fetched)
+        registry.configured(store.spark, sources), fetched, registry.source_errors(problems, fetched), spans
     )
-    store.write("source_runs", run, outcomes)
+    store.write("source_runs", run, outcomes, errors=F.count("error"))
     current = store.spark.createDataFrame([], LISTING) if previous is None else store.read("listings", previous)
     store.write("changes", run, snapshots.classify_change(incoming, current))
     return store.write("listings", run, snapshots.upsert_snapshot(current, incoming))
@@ -104,7 +127,8 @@ def collect(store: Store, run: int, previous: int | None, payloads: DataFrame, s
 def label(store: Store, run: int, settings: Settings, now: datetime) -> DataFrame:
     """Verdicts for the whole snapshot, without touching a feed."""
     labelled = resolve_eligibility(store.read("listings", run), settings.profile, settings.ruleset, now)
-    return store.write("eligibility", run, labelled.select("id", "eligibility"))
+    outcome = F.col("eligibility.eligibility")
+    return store.write("eligibility", run, labelled.select("id", "eligibility"), **{e: F.count_if(outcome == e) for e in ELIGIBILITY})
 
 
 def view(store: Store, run: int, runs: Sequence[int], users: DataFrame | None = None, scored: bool = False) -> DataFrame:
@@ -145,12 +169,12 @@ def run_all(
     seen = view(store, run, history, users)
     survivors = funnel.kept(seen, settings.criteria, now)
     pending = verification.verify_pending(survivors, settings.verify_limit, recheck_unknown=settings.recheck_unknown)
-    store.write("verification", run, verification.verify(pending, fetches, now))
+    store.write("verification", run, verification.verify(pending, fetches, now), verified=F.count(F.lit(1)))
 
     # Selected again, so that listings just found closed cost nothing further.
     checked = view(store, run, [*history, run], users)
     marked = funnel.apply_filters(checked, settings.criteria, now).select("id", "drop_reason")
-    dropped = store.write("drops", run, marked)
+    dropped = store.write("drops", run, marked, filtered_out=F.count("drop_reason"))
     kept = checked.join(dropped.filter(F.col("drop_reason").isNull()).select("id"), "id", "left_semi")
     scored = ranking.prescore(kept, settings.profile, now)
     store.write("prescore", run, scored.select("id", "prescore"))
@@ -180,27 +204,15 @@ def import_scores(store: Store, run: int, replies: DataFrame, provider: str, now
     batches = store.read("batches", run)
     store.write("unreadable", run, scoring.malformed_batches(replies))
     answers = scoring.parse_responses(replies, scoring.batch_sizes(batches))
-    return store.write("matches", run, scoring.attach_scores(batches, answers, provider, now))
+    return store.write("matches", run, scoring.attach_scores(batches, answers, provider, now), scored=F.count(F.lit(1)))
 
 
 def report(store: Store, run: int) -> DataFrame:
-    """One row of the run's counters, from its stored tables. Called again after
-    :func:`import_scores` it also counts what was scored."""
-    records = store.read("records", run)
-    matches = store.latest("matches", "match", [run])
-    stages = reports.funnel_report(
-        fetched=records,
-        normalised=drop_unusable(records.select("title", "url")),
-        deduplicated=store.read("incoming", run),
-        verdicts=store.read("eligibility", run).select(F.col("eligibility.eligibility").alias("outcome")),
-        drops=store.read("drops", run),
-        verified=store.read("verification", run),
-        scored=records.limit(0) if matches is None else matches,
-        errors=store.read("source_runs", run).filter(F.col("error").isNotNull()),
-    )
-    # The stages' names are fixed, so this is one pass without a search for them.
+    """One row of the run's counters, as they were gathered while its tables were
+    written: no table is read again. Called again after :func:`import_scores` it
+    also counts what was scored."""
     named = {stage: "unknown_eligibility" if stage == "unknown" else stage for stage in reports.STAGES}
-    return stages.agg(
+    return store.counters(run).agg(
         F.lit(run).alias("run_id"),
-        *[F.coalesce(F.max(F.when(F.col("stage") == s, F.col("n"))), F.lit(0)).alias(n) for s, n in named.items()],
+        *[F.coalesce(F.max(F.when(F.col("name") == s, F.col("n"))), F.lit(0)).alias(n) for s, n in named.items()],
     )

@@ -256,3 +256,33 @@ def source_registry(spark, sf):
 def payload_problems(spark, sf):
     """Quarantined payloads of one feed."""
     return payloads.problems(payloads.open_json(D.lever(spark, sf), None)).select("payload_id", "problem")
+
+
+_FILES = tuple(n for n in _ALL if n != "hackernews")
+
+
+@query(
+    "landing_stream",
+    O.with_(
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS source, count(DISTINCT {O.canonical('url')}) AS n FROM ({EXPECTED[n]}) WHERE trim(coalesce(title, '')) <> ''" for n in _FILES
+        ),
+        d=_D,
+    ),
+)
+def landing_stream(spark, sf):
+    """Six feeds' responses as files, one each, taken by a stream in two batches or
+    more; listings per feed. A file has no name of its own here, so the thread
+    feed, whose files are told apart by name, is left to its own query."""
+    from siftline.plans.scratch import scratch_dir
+    from siftline.streaming.ingest import ingest_landing
+    from siftline.streaming.merge_store import MergeStore
+
+    root = scratch_dir(spark)
+    bodies = D.all_payloads(spark, sf).filter(F.col("source").isin(*_FILES) & F.col("body").isNotNull())
+    store, sources = MergeStore(spark, f"{root}/store", buckets=8), registry.build_sources(_FILES, _COMPANIES)
+    for half in (0, 1):
+        some = bodies.filter(F.pmod(F.hash("payload_id"), F.lit(2)) == half)
+        some.select("source", "company", F.col("body").alias("value")).write.mode("append").option("maxRecordsPerFile", 1).partitionBy("source", "company").text(f"{root}/landing")
+        ingest_landing(spark, f"{root}/landing", store, sources, L.NOW)
+    return store.current().groupBy("source").agg(F.count("*").alias("n"))

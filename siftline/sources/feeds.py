@@ -34,8 +34,10 @@ def _raw(rows: DataFrame, **columns: Column) -> DataFrame:
         F.col("source") if f.name == "source" else columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
         for f in RAW_LISTING
     ]
-    shaped = rows.select(*typed, F.col("company").alias("board"), "payload_id", "record_pos")
-    return shaped.filter(F.col("url").isNotNull())
+    told = [c for c in ("problem", P.LANDED) if c in rows.columns]
+    shaped = rows.select(*typed, F.col("company").alias("board"), "payload_id", "record_pos", *told)
+    usable = F.col("url").isNotNull()
+    return shaped.filter(usable | F.col("problem").isNotNull() if "problem" in told else usable)
 
 
 def _json_feed(source: str, envelope: str | None, mapping: Callable[[Column], dict[str, Column]]):
@@ -50,7 +52,11 @@ def _json_feed(source: str, envelope: str | None, mapping: Callable[[Column], di
     def problems(payloads: DataFrame) -> DataFrame:
         return P.problems(opened(payloads))
 
-    return read, problems
+    def entries(payloads: DataFrame) -> DataFrame:
+        record = F.col("record")
+        return _raw(P.entries(opened(payloads)), raw=F.to_json(record), **mapping(record))
+
+    return read, problems, entries
 
 
 def _remoteok(r: Column) -> dict[str, Column]:
@@ -90,8 +96,6 @@ def _greenhouse(r: Column) -> dict[str, Column]:
         "external_id": as_text(r, "$.id"),
         "title": as_text(r, "$.title"),
         "company": F.col("company"),
-        # This feed escapes its HTML once more; undone here, so that the shared
-        # conversion sees the same input as from any other feed.
         "description": decode_entities(as_text(r, "$.content")),
         "location_text": as_text(r, "$.location.name"),
         "posted_at_text": as_text(r, "$.updated_at"),
@@ -128,11 +132,11 @@ def _ashby(r: Column) -> dict[str, Column]:
     }
 
 
-read_remoteok, problems_remoteok = _json_feed("remoteok", None, _remoteok)
-read_remotive, problems_remotive = _json_feed("remotive", "jobs", _remotive)
-read_greenhouse, problems_greenhouse = _json_feed("greenhouse", "jobs", _greenhouse)
-read_lever, problems_lever = _json_feed("lever", None, _lever)
-read_ashby, problems_ashby = _json_feed("ashby", "jobs", _ashby)
+read_remoteok, problems_remoteok, entries_remoteok = _json_feed("remoteok", None, _remoteok)
+read_remotive, problems_remotive, entries_remotive = _json_feed("remotive", "jobs", _remotive)
+read_greenhouse, problems_greenhouse, entries_greenhouse = _json_feed("greenhouse", "jobs", _greenhouse)
+read_lever, problems_lever, entries_lever = _json_feed("lever", None, _lever)
+read_ashby, problems_ashby, entries_ashby = _json_feed("ashby", "jobs", _ashby)
 
 
 # --- RSS ---------------------------------------------------------------------
@@ -167,16 +171,20 @@ def split_headline(headline: Column) -> tuple[Column, Column]:
 
 
 def read_weworkremotely(payloads: DataFrame) -> DataFrame:
-    exploded = _open_rss(payloads).select(
-        "source", "company", "payload_id", F.posexplode_outer("records").alias("record_pos", "record")
-    )
-    rows = exploded.filter(F.col("record").isNotNull())
+    return entries_weworkremotely(payloads).filter(F.col("problem").isNull()).drop("problem")
+
+
+def entries_weworkremotely(payloads: DataFrame) -> DataFrame:
+    opened = _open_rss(payloads)
+    kept = ["source", "company", "payload_id", "problem", *[c for c in (P.LANDED,) if c in opened.columns]]
+    exploded = opened.select(*kept, F.posexplode_outer("records").alias("record_pos", "record"))
+    rows = exploded.filter(F.col("record").isNotNull() | F.col("problem").isNotNull())
 
     def field(name: str) -> Column:
         texts = F.transform(F.col(f"record.{name}"), strip_or_null)
         return F.get(F.filter(texts, lambda t: t.isNotNull()), F.lit(0))
 
-    named = rows.select("source", "company", "payload_id", "record_pos", "record", *[field(n).alias(f"_{n}") for n in _ITEM_FIELDS])
+    named = rows.select(*kept, "record_pos", "record", *[field(n).alias(f"_{n}") for n in _ITEM_FIELDS])
     company, title = split_headline(F.col("_title"))
     return _raw(
         named,
@@ -219,7 +227,20 @@ def latest_thread(payloads: DataFrame) -> DataFrame:
 
 def read_hackernews(payloads: DataFrame) -> DataFrame:
     """Top-level comments of the newest thread that are long enough to be ads."""
-    hits = P.records(_hits(payloads, "comments"))
+    return _comments(payloads, P.records(_hits(payloads, "comments")))
+
+
+def entries_hackernews(payloads: DataFrame) -> DataFrame:
+    """The comments, and what was unreadable, from one reading of their payloads;
+    the few story payloads are read for the thread and for their problems."""
+    hits = P.entries(_hits(payloads, "comments"))
+    failed = hits.filter(F.col("problem").isNotNull()).select("source", F.col("company").alias("board"), "payload_id", "problem")
+    of_stories = _thread_problems(payloads).withColumnRenamed("company", "board")
+    return _comments(payloads, hits).unionByName(failed, allowMissingColumns=True).unionByName(of_stories, allowMissingColumns=True)
+
+
+def _comments(payloads: DataFrame, hits: DataFrame) -> DataFrame:
+    when = [c for c in ("problem", P.LANDED) if c in hits.columns]
     record = F.col("record")
     comments = hits.select(
         "source",
@@ -231,6 +252,7 @@ def read_hackernews(payloads: DataFrame) -> DataFrame:
         as_text(record, "$.comment_text").alias("_body"),
         as_text(record, "$.created_at").alias("_created"),
         F.to_json("record").alias("_raw"),
+        *when,
     ).filter(F.col("_id").isNotNull() & (F.length("_body") >= MIN_POSTING_CHARS))
     # The thread is a single row by construction: an aggregate without groups.
     posted = comments.join(F.broadcast(latest_thread(payloads)), "story_id")
@@ -247,7 +269,12 @@ def read_hackernews(payloads: DataFrame) -> DataFrame:
 
 
 def problems_hackernews(payloads: DataFrame) -> DataFrame:
-    unreadable = P.problems(_hits(payloads, "stories")).unionByName(P.problems(_hits(payloads, "comments")))
+    return P.problems(_hits(payloads, "comments")).unionByName(_thread_problems(payloads))
+
+
+def _thread_problems(payloads: DataFrame) -> DataFrame:
+    """Unreadable story payloads, and whether any names a thread."""
+    unreadable = P.problems(_hits(payloads, "stories"))
     landed = payloads.filter((F.col("source") == "hackernews") & (F.col("kind") == "stories"))
     marks = landed.select(F.lit("landed").alias("mark")).unionByName(
         latest_thread(payloads).select(F.lit("thread").alias("mark"))

@@ -2,7 +2,8 @@
 
 Columns: ``source``, ``company`` (null for whole-board feeds), ``payload_id``,
 ``kind`` (``listings``; the thread feed has ``stories`` and ``comments``),
-``body`` and ``error`` (why the fetch itself failed, null when it did not).
+``body`` and ``error`` (why the fetch itself failed, null when it did not);
+optionally ``landed_at``, when the response was written.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from siftline.functions import coerce
 from siftline.functions.text import strip
 
+#: When a response was written, where that is known.
+LANDED = "landed_at"
 PAYLOAD = "source string, company string, payload_id string, kind string, body string, error string"
 
 
@@ -47,6 +50,7 @@ def _payloads(loaded: DataFrame) -> DataFrame:
         F.when(name.rlike(r"\A(stories|comments)\b"), F.regexp_extract(name, r"\A(stories|comments)", 1)).otherwise(F.lit("listings")).alias("kind"),
         F.when(~failed, F.col("value")).alias("body"),
         F.when(failed, strip(F.col("value"))).alias("error"),
+        F.col("_metadata.file_modification_time").alias("landed_at"),
     )
 
 
@@ -71,6 +75,16 @@ def problems(opened: DataFrame) -> DataFrame:
     return opened.filter(F.col("problem").isNotNull()).select("source", "company", "payload_id", "problem")
 
 
+def entries(opened: DataFrame) -> DataFrame:
+    """The records, and a row without record for each payload with a ``problem``:
+    both from one reading of the payload."""
+    when = [F.col(LANDED)] if LANDED in opened.columns else []
+    exploded = opened.select(
+        "source", "company", "payload_id", "kind", *when, "problem", F.posexplode_outer("records").alias("record_pos", "record")
+    )
+    return exploded.filter(coerce.is_object(F.col("record")) | F.col("problem").isNotNull())
+
+
 def records(opened: DataFrame) -> DataFrame:
     """One row per record that is an object, with its place in the payload.
 

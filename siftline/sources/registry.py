@@ -21,6 +21,8 @@ class Feed:
     per_company: bool = False
     #: Companies whose boards are read; empty: every landed payload.
     companies: tuple[str, ...] = ()
+    #: Records and problems from one reading; without it, from two.
+    entries: Reader | None = None
 
     def landed(self, payloads: DataFrame) -> DataFrame:
         """Payloads of the configured companies; prunes ``company=`` folders."""
@@ -28,13 +30,13 @@ class Feed:
 
 
 REGISTRY: dict[str, Feed] = {
-    "remoteok": Feed(feeds.read_remoteok, feeds.problems_remoteok),
-    "remotive": Feed(feeds.read_remotive, feeds.problems_remotive),
-    "weworkremotely": Feed(feeds.read_weworkremotely, feeds.problems_weworkremotely),
-    "hackernews": Feed(feeds.read_hackernews, feeds.problems_hackernews),
-    "greenhouse": Feed(feeds.read_greenhouse, feeds.problems_greenhouse, per_company=True),
-    "lever": Feed(feeds.read_lever, feeds.problems_lever, per_company=True),
-    "ashby": Feed(feeds.read_ashby, feeds.problems_ashby, per_company=True),
+    "remoteok": Feed(feeds.read_remoteok, feeds.problems_remoteok, entries=feeds.entries_remoteok),
+    "remotive": Feed(feeds.read_remotive, feeds.problems_remotive, entries=feeds.entries_remotive),
+    "weworkremotely": Feed(feeds.read_weworkremotely, feeds.problems_weworkremotely, entries=feeds.entries_weworkremotely),
+    "hackernews": Feed(feeds.read_hackernews, feeds.problems_hackernews, entries=feeds.entries_hackernews),
+    "greenhouse": Feed(feeds.read_greenhouse, feeds.problems_greenhouse, per_company=True, entries=feeds.entries_greenhouse),
+    "lever": Feed(feeds.read_lever, feeds.problems_lever, per_company=True, entries=feeds.entries_lever),
+    "ashby": Feed(feeds.read_ashby, feeds.problems_ashby, per_company=True, entries=feeds.entries_ashby),
 }
 # First-wins order within and across feeds.
 ORDER = ("source_priority", "board", "payload_id", "record_pos")
@@ -72,6 +74,27 @@ def union_sources(payloads: DataFrame, sources: dict[str, Feed]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def union_entries(payloads: DataFrame, sources: dict[str, Feed]) -> DataFrame:
+    """Raw listings as in :func:`union_sources` and, with a ``problem`` and little
+    else, the payloads that could not be read. Each payload is parsed once."""
+    parts = []
+    for i, feed in enumerate(sources.values()):
+        landed = feed.landed(payloads)
+        if feed.entries is not None:
+            rows = feed.entries(landed)
+        else:
+            failed = feed.problems(landed).withColumnRenamed("company", "board")
+            rows = feed.read(landed).unionByName(failed, allowMissingColumns=True)
+        parts.append(rows.withColumn("source_priority", F.lit(i)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def problems_of(entries: DataFrame) -> DataFrame:
+    """``(source, company, payload_id, problem)`` as :func:`source_problems` has it."""
+    failed = entries.filter(F.col("problem").isNotNull())
+    return failed.select("source", F.col("board").alias("company"), "payload_id", "problem")
+
+
 def source_problems(payloads: DataFrame, sources: dict[str, Feed]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [feed.problems(feed.landed(payloads)) for feed in sources.values()])
 

@@ -95,8 +95,8 @@ def ingest_available(
 def take_payloads(store: MergeStore, landed: DataFrame, sources: dict, stream: str, batch: int, now: datetime) -> None:
     """One batch of landed responses: records to the store, failures aside.
 
-    Names and failures are written under the batch, then the store commits the
-    records. A batch done again overwrites its own folders and commits nothing twice.
+    Responses are parsed once, into a table of raw records and failures under the
+    batch; then the store commits the listings. A batch done again overwrites its own folders and commits nothing twice.
     """
     if store.done(stream, batch):
         return
@@ -105,8 +105,11 @@ def take_payloads(store: MergeStore, landed: DataFrame, sources: dict, stream: s
     place = f"stream={stream}/batch={batch}"
     landed = _not_taken(store, landed, stream)
     landed.select("payload_id").write.mode("overwrite").parquet(f"{store.root}/taken/{place}")
-    registry.source_problems(landed, sources).write.mode("overwrite").parquet(f"{store.root}/quarantine/{place}")
-    records = complete_raw(registry.union_sources(landed, sources)).drop("raw")
+    entries = f"{store.root}/records/{place}"
+    complete_raw(registry.union_entries(landed, sources)).write.mode("overwrite").parquet(entries)
+    parsed = store.spark.read.parquet(entries)
+    registry.problems_of(parsed).write.mode("overwrite").parquet(f"{store.root}/quarantine/{place}")
+    records = parsed.filter("problem IS NULL").drop("raw", "problem", payloads.LANDED)
     store.upsert(unique_listings(records, now, registry.ORDER), stream, batch)
 
 
