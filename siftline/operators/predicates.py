@@ -16,7 +16,7 @@ from siftline.functions.text import bind, lookup
 from siftline.schema import Profile
 
 
-def _available_hours(profile: Profile, now: datetime) -> dict[str, float]:
+def available_hours(profile: Profile, now: datetime) -> dict[str, float]:
     """Shared work hours per abbreviation, worked out once on the driver."""
     mine = clocks.utc_offset_hours(profile.timezone, now)
     if mine is None:
@@ -42,7 +42,7 @@ def insufficient_overlap(text: Column, profile: Profile, now: datetime) -> Colum
 
 def insufficient(stated: Column, profile: Profile, now: datetime) -> Column:
     """The same from a requirement that is already parsed."""
-    hours = _available_hours(profile, now)
+    hours = available_hours(profile, now)
     if not hours:
         return F.lit(None).cast("string")
     zone, required = stated["zone"], stated["hours"].cast("int")
@@ -70,7 +70,7 @@ def sufficient_overlap(text: Column, profile: Profile, now: datetime) -> Column:
 
 def sufficient(stated: Column, profile: Profile, now: datetime) -> Column:
     """The same from a requirement that is already parsed."""
-    available = _available_hours(profile, now)
+    available = available_hours(profile, now)
     said = F.concat(F.lit("Stated overlap requirement of "), stated["hours"], F.lit("h is satisfiable"))
     if not available:
         return said

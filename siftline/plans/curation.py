@@ -15,8 +15,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.operators import funnel, ranking, reports, scoring, snapshots, verification
-from siftline.operators.eligibility import resolve_eligibility
+from siftline.operators import funnel, memo, ranking, reports, scoring, snapshots, verification
 from siftline.operators.normalise import complete_raw, unique_listings, usable
 from siftline.operators.rules import RuleSet
 from siftline.schema import ELIGIBILITY, LISTING, Criteria, Profile
@@ -50,7 +49,7 @@ class Store:
         observed = rows.observe(seen, *[value.alias(name) for name, value in counters.items()])
         observed.write.mode("overwrite").parquet(self.path(table, run))
         found = self.spark.createDataFrame([(name, int(n or 0)) for name, n in seen.get.items()], "name string, n bigint")
-        found.coalesce(1).write.mode("overwrite").json(f"{self.path('counters', run)}/table={table}")
+        found.coalesce(1).write.mode("overwrite").json(f"{self.path('counters', run)}/table={table.partition('/')[0]}")
         return self.read(table, run)
 
     def counters(self, run: int) -> DataFrame:
@@ -71,6 +70,12 @@ class Store:
         rows = self.spark.read.parquet(f"{self.root}/{table}").filter(F.col("run").isin(*runs))
         return snapshots.latest_by_key(rows, value, seq="run")
 
+    def before(self, table: str, run: int) -> DataFrame | None:
+        """What other runs have written to the table; null if none has."""
+        if not self.exists(table):
+            return None
+        return self.spark.read.parquet(f"{self.root}/{table}").filter(F.col("run") != run).drop("run")
+
     def exists(self, table: str) -> bool:
         """Whether any run has written the table; damaged output is an error."""
         try:
@@ -125,10 +130,16 @@ def collect(store: Store, run: int, previous: int | None, payloads: DataFrame, s
 
 
 def label(store: Store, run: int, settings: Settings, now: datetime) -> DataFrame:
-    """Verdicts for the whole snapshot, without touching a feed."""
-    labelled = resolve_eligibility(store.read("listings", run), settings.profile, settings.ruleset, now)
+    """Verdicts for the whole snapshot, without touching a feed. What earlier runs
+    with the same rules and profile have labelled is not labelled again."""
+    listings = store.read("listings", run)
+    table = f"verdict_memo/settings={memo.settings_key(settings.profile, settings.ruleset, now)}"
+    known = store.before(table, run)
+    fresh = memo.label_new(listings, known, settings.profile, settings.ruleset, now)
+    new = store.write(table, run, fresh, labelled=F.count(F.lit(1)))
+    both = new if known is None else new.unionByName(known)
     outcome = F.col("eligibility.eligibility")
-    return store.write("eligibility", run, labelled.select("id", "eligibility"), **{e: F.count_if(outcome == e) for e in ELIGIBILITY})
+    return store.write("eligibility", run, memo.recall(listings, both), **{e: F.count_if(outcome == e) for e in ELIGIBILITY})
 
 
 def view(store: Store, run: int, runs: Sequence[int], users: DataFrame | None = None, scored: bool = False) -> DataFrame:

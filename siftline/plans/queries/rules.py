@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from siftline.functions import clocks
 from siftline.functions.patterns import phrase as phrase_pattern
 from siftline.operators import eligibility as E
+from siftline.operators import memo as ME
 from siftline.operators import predicates as P
 from siftline.operators import profiles as PR
+from siftline.operators.normalise import unique_listings
 from siftline.operators.rules import RuleSet, load_rules, parse_rules
 from siftline.plans import listing_data as L
 from siftline.plans import oracle as O
@@ -323,3 +325,30 @@ def resolve_profiles(spark, sf):
     rows, path = L.listings(spark, sf), scratch_dir(spark)
     PR.hit_table(rows, load_rules()).write.parquet(path)
     return PR.resolve_profiles(rows, {n: p for n, (p, _) in MANY.items()}, load_rules(), L.NOW, hits=spark.read.parquet(path))
+
+
+_READ = "title, company, location_text, description, contract_type, pay_min, pay_max, pay_currency, pay_period"
+
+
+@query(
+    "relabel_changed",
+    O.with_(
+        f"SELECT n.id, v.verdict AS eligibility, NOT EXISTS (SELECT 1 FROM listings o WHERE {' AND '.join(f'o.{c} IS NOT DISTINCT FROM n.{c}' for c in _READ.split(', '))}) AS fresh "
+        "FROM listings2 n JOIN later v USING (id)",
+        "listings",
+        "listings2",
+        dims=O.dimension_rows("listings2"),
+        later=O.VERDICT,
+    ),
+)
+def relabel_changed(spark, sf):
+    """A second scrape, labelled where the first one's verdicts do not serve."""
+    root, rules = scratch_dir(spark), load_rules()
+    second = unique_listings(L.second_scrape(spark, sf), L.NOW)
+    ME.label_new(L.listings(spark, sf), None, L.PROFILE, rules, L.NOW).write.parquet(f"{root}/run=1")
+    known = spark.read.parquet(f"{root}/run=1")
+    ME.label_new(second, known, L.PROFILE, rules, L.NOW).write.parquet(f"{root}/run=2")
+    new = spark.read.parquet(f"{root}/run=2")
+    memo = known.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))
+    keyed = second.select("id", ME.verdict_key().alias("verdict_key"))
+    return keyed.join(memo, "verdict_key").select("id", F.col("eligibility.eligibility").alias("eligibility"), "fresh")
