@@ -20,6 +20,13 @@ PAID = "id string, contract_type string, compensation struct<minimum:decimal(14,
 NOW = datetime(2026, 3, 1, 12, tzinfo=timezone.utc)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_stays_cached(spark):
+    """Other tests look at plans, where cached tables would show."""
+    yield
+    spark.catalog.clearCache()
+
+
 def paid(spark, rows):
     return spark.createDataFrame([(i, kind, None if low is None and cur is None else (low, None, cur, per), "clash") for i, kind, low, cur, per in rows], PAID)
 

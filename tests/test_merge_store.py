@@ -24,6 +24,13 @@ NOW = datetime(2026, 3, 1, 12, tzinfo=timezone.utc)
 LATER = NOW + timedelta(days=7)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_stays_cached(spark):
+    """Other tests look at plans, where cached tables would show."""
+    yield
+    spark.catalog.clearCache()
+
+
 def plain(listings):
     return sorted(map(str, listings.select(*LISTING.names).collect()))
 

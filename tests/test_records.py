@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators.normalise import drop_unusable
@@ -17,6 +18,13 @@ SF = "/root/testdata/sf0.001"
 COMPANIES = {name: [f"board{i}" for i in range(D.BOARDS)] for name in ("greenhouse", "lever", "ashby")}
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_stays_cached(spark):
+    """Other tests look at plans, where cached tables would show."""
+    yield
+    spark.catalog.clearCache()
+
+
 def test_entries_are_records_and_problems(spark):
     sources = registry.build_sources(registry.available_sources(), COMPANIES)
     landed = D.all_payloads(spark, SF).cache()
