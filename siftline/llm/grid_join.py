@@ -4,12 +4,16 @@ Unit vectors with cosine >= t are at most eps = sqrt(2 - 2t) apart, and so is
 each of their coordinates in any rotated frame. The frame's leading principal
 dimensions are cut into cells of width eps; sorted by label and cell, the vectors
 form one sequence. It is split into blocks of bounded size, each with the box
-that its vectors span. Two blocks meet only where they share a label and
-neighbouring first cells and their boxes are no further apart than eps. A pair of
-blocks is joined by halving both sequence intervals, skipping halves that are
-provably distant, and multiplying the rest in double precision.
-
-Equal vectors are one row throughout. A pair of blocks returns how many links
+that its vectors span. Runs of blocks, runs of those, and so on form a hierarchy of
+intervals with boxes of their own. From each label's whole sequence on, only pairs
+of intervals whose boxes are no further apart than eps are refined, level by level,
+down to pairs of blocks; no interval meets the rest of its label. Pairs of blocks
+are gathered in tiles, so that vectors are sent once a tile. A pair of blocks is
+joined by halving on in the same way, skipping halves that are provably distant,
+and multiplying the rest in double precision.
+
+Equal vectors are one row throughout; at the end each row finds its own by a 128-bit
+hash, salted, as one vector may fill a third of the table. A pair of blocks returns how many links
 each vector has and the edges of a spanning forest, never all pairs.
 
 Vectors that are null, empty, zero or hold a null or non-finite component, and
@@ -24,17 +28,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.components import components
 from siftline.llm.storage import stored
 
-#: Leading principal dimensions of the grid, vectors of a block, and the interval
-#: length from which halving stops.
+#: Leading principal dimensions of the grid, vectors and bytes of a block at most,
+#: and the interval length from which halving stops.
 DIMS = 6
 BLOCK = 1024
+BLOCK_BYTES = 2 << 20
 LEAF = 128
+#: An interval has 2 ** BITS children; a tile has as many blocks on each side.
+BITS = 3
+#: Parts into which the partners of one interval, or the copies of one vector, are dealt.
+SALTS = 8
 #: Slack for rounding in the frame; candidates only, links are checked exactly.
 SLACK = 1e-6
 BLOCK_SCHEMA = "block long, label int, size int, lo array<double>, hi array<double>, ids array<long>, copies array<long>, vectors binary"
@@ -114,7 +123,7 @@ def blocks(distinct: DataFrame, eps: float) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 now = (row["label"], row["size"])
-                if held and (now != key or len(held) == BLOCK):
+                if held and (now != key or len(held) >= max(1, min(BLOCK, BLOCK_BYTES // (8 * key[1])))):
                     yield block()
                     held = []
                 key = now
@@ -125,21 +134,61 @@ def blocks(distinct: DataFrame, eps: float) -> DataFrame:
     return stored(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, BLOCK_SCHEMA))
 
 
+def numbered(table: DataFrame) -> DataFrame:
+    """Add ``at``, the block's place in the whole sequence, without gaps.
+
+    Only the number of blocks of each partition is put in order."""
+    part = F.shiftright("block", 32)
+    sizes = table.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = table.withColumn("part", part).join(sizes.select("part", before.alias("before")), "part")
+    return placed.withColumn("at", F.col("before") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))).drop("part", "before")
+
+
+def hierarchy(boxes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Each label's whole interval, and the levels from it down to runs of blocks.
+
+    A level has a row for each interval: ``label, size, node, lo, hi`` and ``kids``,
+    its at most 2 ** BITS children with their boxes."""
+    last = boxes.agg(F.max("node")).first()[0] or 0
+    levels: list[DataFrame] = []
+    while last >> (BITS * len(levels)):
+        ends = [F.array(*[f(F.col(name)[k]) for k in range(DIMS)]).alias(name) for name, f in (("lo", F.min), ("hi", F.max))]
+        up = F.shiftright("node", BITS).alias("node")
+        below = levels[-1] if levels else boxes
+        levels.append(stored(below.groupBy("label", "size", up).agg(F.collect_list(F.struct("node", "lo", "hi")).alias("kids"), *ends)))
+    return (levels[-1] if levels else boxes), levels[::-1]
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """The squared distance between two boxes."""
+    gaps = [F.greatest(x["lo"][k] - y["hi"][k], y["lo"][k] - x["hi"][k], F.lit(0.0)) for k in range(DIMS)]
+    return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+
+
 def block_pairs(table: DataFrame, eps: float) -> DataFrame:
-    """Pairs of blocks that are not provably distant; each with itself too."""
-    box = table.select("block", "label", "size", "lo", "hi", F.floor(F.col("lo")[0] / eps).alias("from"), F.floor(F.col("hi")[0] / eps).alias("to"))
-    a = box.select("*", F.explode(F.sequence("from", "to")).alias("at")).alias("a")
-    b = box.select("*", F.explode(F.sequence(F.col("from") - 1, F.col("to") + 1)).alias("at")).alias("b")
-    gap = F.zip_with(F.zip_with("a.lo", "b.hi", lambda x, y: x - y), F.zip_with("b.lo", "a.hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    apart = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g)
-    met = (F.col("a.label") == F.col("b.label")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.at") == F.col("b.at"))
-    once = (F.col("a.block") <= F.col("b.block")) & (F.col("a.at") == F.greatest(F.col("a.from"), F.col("b.from") - 1))
-    return a.join(b, met & once & (apart <= (eps + SLACK) ** 2)).select(F.col("a.block").alias("a"), F.col("b.block").alias("b"))
+    """Pairs ``a <= b`` of blocks of a label, by ``at``, that are not provably distant."""
+    sides = [F.array(*[F.coalesce(F.get(name, F.lit(k)), F.lit(0.0)) for k in range(DIMS)]).alias(name) for name in ("lo", "hi")]
+    top, levels = hierarchy(stored(table.select("label", "size", F.col("at").alias("node"), *sides)))
+    pairs = top.select("label", "size", F.col("node").alias("a"), F.col("node").alias("b"))
+    for level in levels:
+        salted = level.select("label", "size", "node", "kids", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        for end, other, kids in (("a", "b", "x"), ("b", "a", "y")):
+            side = salted.select("label", "size", F.col("node").alias(end), F.col("kids").alias(kids), "salt")
+            pairs = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS))).join(side, ["label", "size", end, "salt"]).drop("salt")
+        met = pairs.select("label", "size", F.explode("x").alias("x"), "y").select("label", "size", "x", F.explode("y").alias("y"))
+        met = met.filter((F.col("x.node") <= F.col("y.node")) & (_apart(F.col("x"), F.col("y")) <= (eps + SLACK) ** 2))
+        pairs = stored(met.select("label", "size", F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    return pairs
+
+
+def _far(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, eps: float) -> bool:
+    gap = np.maximum(np.maximum(lo - hi2, lo2 - hi), 0)
+    return float(gap @ gap) > (eps + SLACK) ** 2
 
 
 def _boxes_apart(p: np.ndarray, q: np.ndarray, eps: float) -> bool:
-    gap = np.maximum(np.maximum(p.min(0) - q.max(0), q.min(0) - p.max(0)), 0)
-    return float(gap @ gap) > (eps + SLACK) ** 2
+    return _far(p.min(0), p.max(0), q.min(0), q.max(0), eps)
 
 
 def links_of(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -181,45 +230,68 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def link_table(table: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, n)``: edges where b is set, else n links that a has."""
+    """``(a, b, n)``: edges where b is set, else n links that a has.
+
+    Pairs of blocks are dealt out by tile; a block is sent once to each tile where
+    it has a near partner. A tile holds at most 2 ** (BITS + 1) blocks."""
     eps = float(np.sqrt(2 - 2 * threshold))
 
-    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                ids, others = np.array(r["a_ids"]), np.array(r["b_ids"])
-                x = np.frombuffer(r["a_vectors"]).reshape(len(ids), -1)
-                y = np.frombuffer(r["b_vectors"]).reshape(len(others), -1)
-                linked = links_of(x, y, threshold)
-                same = r["a"] == r["b"]
-                if same:
+    def join(tile: pa.Table) -> pa.Table:
+        rows = {r["at"]: r for r in tile.drop_columns(["vectors"]).to_pylist()}
+        buffers = dict(zip(tile.column("at").to_pylist(), tile.column("vectors")))
+        x = {at: np.frombuffer(buffers[at].as_buffer()).reshape(len(r["ids"]), -1) for at, r in rows.items()}
+        box = {at: (np.array(r["lo"]), np.array(r["hi"])) for at, r in rows.items()}
+        ids = {at: np.array(r["ids"], np.int64) for at, r in rows.items()}
+        copies = {at: np.array(r["copies"], np.int64) for at, r in rows.items()}
+        links = {at: np.zeros(len(i), np.int64) for at, i in ids.items()}
+        ends: list[tuple[int, int]] = []
+        for p in rows:
+            for q in rows:
+                if p > q or (p >> BITS, q >> BITS) != (rows[p]["ta"], rows[p]["tb"]) or _far(*box[p], *box[q], eps):
+                    continue
+                linked = links_of(x[p], x[q], threshold)
+                if p == q:
                     np.fill_diagonal(linked, False)
-                edges = [(int(ids[i]), int(others[j])) for i, j in forest(linked)]
-                counts = [(ids, linked @ np.array(r["b_copies"]))] + ([] if same else [(others, np.array(r["a_copies"]) @ linked)])
-                nodes = np.concatenate([i[n > 0] for i, n in counts])
-                ns = np.concatenate([n[n > 0] for _, n in counts])
-                a = np.concatenate([nodes, np.array([e[0] for e in edges], np.int64)])
-                b = pa.array([None] * len(nodes) + [e[1] for e in edges], pa.int64())
-                n = np.concatenate([ns, np.zeros(len(edges), np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), b, pa.array(n.astype(np.int64))], names=["a", "b", "n"])
-
-    side = lambda name: table.select(F.col("block").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("ids", "copies", "vectors")])
-    pairs = block_pairs(table.select("block", "label", "size", "lo", "hi"), eps)
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(join, "a long, b long, n long"))
+                links[p] += linked @ copies[q]
+                if p != q:
+                    links[q] += copies[p] @ linked
+                ends += [(int(ids[p][i]), int(ids[q][j])) for i, j in forest(linked)]
+        nodes = np.concatenate([ids[at][n > 0] for at, n in links.items()])
+        counts = np.concatenate([n[n > 0] for n in links.values()])
+        a = np.concatenate([nodes, np.array([e[0] for e in ends], np.int64)])
+        b = pa.array([None] * len(nodes) + [e[1] for e in ends], pa.int64())
+        n = np.concatenate([counts, np.zeros(len(ends), np.int64)])
+        return pa.table({"a": pa.array(a), "b": b, "n": pa.array(n)})
+
+    placed = numbered(table)
+    pairs = block_pairs(placed.select("label", "size", "at", "lo", "hi"), eps)
+    tile = ["label", "size", "ta", "tb"]
+    met = pairs.select("label", "size", F.shiftright("a", BITS).alias("ta"), F.shiftright("b", BITS).alias("tb"), F.explode(F.array("a", "b")).alias("at"))
+    sent = met.distinct().join(placed.drop("label", "size", "block"), "at")
+    return stored(sent.groupBy(*tile).applyInArrow(join, "a long, b long, n long"))
+
+
+def _key() -> list[Column]:
+    """128 bits of a label and its vector; both zeros are the same number."""
+    v = F.transform("embedding", lambda x: x + F.lit(0.0))
+    return [F.xxhash64("label", v).alias("h"), F.xxhash64(F.lit(1), v, "label").alias("g")]
 
 
 def similar_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding"))
     good = rows.filter(valid())
-    distinct = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).select("label", F.size("embedding").alias("size"), "id", "copies", F.col("embedding").alias("v")))
+    distinct = stored(
+        good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+        .select("label", F.size("embedding").alias("size"), "id", "copies", *_key(), F.col("embedding").alias("v"))
+    )
     found = link_table(blocks(distinct, float(np.sqrt(2 - 2 * threshold))), threshold)
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     classes = components(found.filter("b IS NOT NULL").select("a", "b"))
     decided = distinct.join(counts, "id", "left").join(classes, "id", "left").select(
-        "label", F.col("v").alias("embedding"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
-    )
-    linked = good.join(decided, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+        "h", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"),
+    )
+    linked = good.select("vec_id", *_key(), F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt")).join(decided, ["h", "g", "salt"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~F.coalesce(valid(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
