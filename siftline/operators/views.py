@@ -191,13 +191,17 @@ def page_envelope(view: DataFrame, limit: int = 50, offset: int = 0, order_by: s
     return items, page_totals(view, **filters).withColumns({"limit": F.lit(limit), "offset": F.lit(offset)})
 
 
+def haystack() -> Column:
+    """What a search looks into: title, company, source and tags."""
+    return F.lower(F.concat_ws(" ", F.col("title"), F.coalesce("company", F.lit("")), F.col("source"), F.array_join("tags", " ")))
+
+
 def text_search(view: DataFrame, needle: str) -> DataFrame:
     """Case-blind substring search over title, company, source and tags."""
     wanted = needle.strip().lower()
     if not wanted:
         return view
-    haystack = F.concat_ws(" ", F.col("title"), F.coalesce("company", F.lit("")), F.col("source"), F.array_join("tags", " "))
-    return view.filter(F.lower(haystack).contains(wanted))
+    return view.filter(haystack().contains(wanted))
 
 
 def count_jobs(view: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from siftline.operators import ranking, reports, verification
+from siftline.operators import order_index, ranking, reports, search_index, verification
 from siftline.operators import views as V
 from siftline.operators.normalise import normalise
 from siftline.plans import listing_data as L
@@ -122,6 +122,30 @@ def page_after(spark, sf):
     return V.page_after(served(spark, sf), 0.5, "8", 50).select("id", "prescore")
 
 
+def _indexed(order: str) -> None:
+    at = f"SELECT id, row_number() OVER (ORDER BY {_ORDER[order]}) AS position FROM served"
+
+    @query(
+        f"order_index_{order}",
+        _sql(f"SELECT 'offset' AS way, id, position FROM ({at}) WHERE position BETWEEN 101 AND 150 UNION ALL SELECT 'key', id, position FROM ({at}) WHERE position BETWEEN 151 AND 180"),
+    )
+    def run(spark, sf):
+        """A page by offset, and the page after its last row by key."""
+        path = scratch_dir(spark)
+        order_index.build_order_index(served(spark, sf), order, path, files=16)
+        first = order_index.page_at(spark, path, limit=50, offset=100)
+        last = first.filter(F.col("position") == 150).first()
+        found = first.select(F.lit("offset").alias("way"), "id", "position")
+        if last is None:
+            return found
+        following = order_index.page_following(spark, path, tuple(last["key"]), limit=30)
+        return found.unionByName(following.select(F.lit("key").alias("way"), "id", "position"))
+
+
+for _name in _ORDER:
+    _indexed(_name)
+
+
 _SORTS = {
     "score": ("coalesce(score, prescore, -1)", True),
     "title": ("title", False),
@@ -184,6 +208,11 @@ def page_envelope(spark, sf):
     return V.page_envelope(served(spark, sf), limit=50, offset=0, **_FILTERS)[1]
 
 
+@query("page_envelope_items", _sql(f"SELECT {_LIST} FROM served WHERE {_WHERE} ORDER BY {_ORDER['match_score']} LIMIT 50 OFFSET 20"))
+def page_envelope_items(spark, sf):
+    return _flat(V.page_envelope(served(spark, sf), limit=50, offset=20, **_FILTERS)[0])
+
+
 @query(
     "text_search",
     _sql("SELECT id, title FROM served WHERE contains(lower(concat_ws(' ', title, coalesce(company, ''), source, array_to_string(tags, ' '))), 'engineer company 1')"),
@@ -192,6 +221,16 @@ def text_search(spark, sf):
     return V.text_search(served(spark, sf), "  Engineer Company 1").select("id", "title")
 
 
+@query(
+    "text_search_indexed",
+    _sql("SELECT id FROM served WHERE contains(lower(concat_ws(' ', title, coalesce(company, ''), source, array_to_string(tags, ' '))), 'engineer company 1')"),
+)
+def text_search_indexed(spark, sf):
+    path = scratch_dir(spark)
+    search_index.build_search_index(served(spark, sf), path)
+    return search_index.search(spark, path, "  Engineer Company 1")
+
+
 @query("count_jobs", O.with_("SELECT count(*) AS n FROM listings", "listings"))
 def count_jobs(spark, sf):
     return V.count_jobs(L.listings(spark, sf))
