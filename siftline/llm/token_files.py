@@ -16,7 +16,7 @@ gives an empty file set.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ FILE_SCHEMA = "doc_id long, part int, within long, n_tokens long, ids array<int>
 #: Bytes of a row group and rows of a page: what a selective read has to fetch.
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 PAGE_ROWS = 1000
+#: Ids that one selective read may name.
+MOST_IDS = 1000
 DELTA_COLUMNS = ("doc_id", "part", "within", "n_tokens")
 
 
@@ -79,6 +81,23 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILE_SCHEMA).parquet(path)
 
 
+def read_tokens(spark: SparkSession, path: str, ids: Sequence[int], columns: Sequence[str] = ("doc_id", "ids")) -> DataFrame:
+    """The rows of some documents, with the named columns.
+
+    Each id is a condition of its own on the ascending id column: files and row
+    groups whose bounds exclude all ids are skipped, and within the others only
+    pages that may hold one are read, of the named columns alone. Unknown ids give
+    no row. More than ``MOST_IDS`` ids are for a join with ``read_token_files``.
+    """
+    wanted = sorted(set(ids))
+    if len(wanted) > MOST_IDS:
+        raise ValueError(f"at most {MOST_IDS} ids; join with read_token_files beyond")
+    tests = [F.col("doc_id") == i for i in wanted] or [F.lit(False)]
+    while len(tests) > 1:  # in pairs, so that the condition stays shallow
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) & ~1 :]
+    return read_token_files(spark, path).filter(tests[0]).select(*columns)
+
+
 def with_starts(rows: DataFrame, path: str) -> DataFrame:
     """Add ``start``: how many ids all earlier documents have.
 
