@@ -236,6 +236,27 @@ def raw_payloads(spark, sf):
     return records.select("source", "external_id", F.md5(F.get_json_object("raw", "$.description")).alias("digest"))
 
 
+@query(
+    "raw_at_paths",
+    O.with_(
+        "SELECT 'remotive' AS source, n AS external_id, md5(text) AS digest FROM d WHERE doc_id % 10 <> 9 "
+        f"UNION ALL SELECT 'lever', 'l-' || n, md5(text) FROM d WHERE doc_id % 10 < 9 AND {_READABLE}",
+        d=_D,
+    ),
+)
+def raw_at_paths(spark, sf):
+    """The same records retained as VARIANT; both columns are read by path."""
+    from siftline.plans.scratch import scratch_dir
+    from siftline.sources import raw_store
+
+    chosen = registry.build_sources(("remotive", "lever"), _COMPANIES)
+    landed = D.FEEDS["remotive"](spark, sf).unionByName(D.FEEDS["lever"](spark, sf))
+    records, path = registry.union_sources(landed, chosen).select("source", "raw"), scratch_dir(spark)
+    raw_store.retain(records, path)
+    kept = raw_store.read_retained(spark, path, records.schema)
+    return kept.select("source", raw_store.at("$.id").alias("external_id"), F.md5(raw_store.at("$.description")).alias("digest"))
+
+
 @query(
     "source_registry",
     O.with_(
