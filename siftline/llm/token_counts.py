@@ -5,13 +5,15 @@ A change feed has one row per change: ``seq`` orders the changes of a batch,
 ``op`` is upsert or delete. A commit takes each document's last change, looks up
 the counts that the document had after all earlier batches, and writes
 
-* ``counts/batch=N``: what each changed document counts from now on, and
+* ``counts/batch=N/bucket=B``: what each changed document counts from now on,
+  in buckets by id and sorted by id, and
 * ``deltas/batch=N``: per source, language and version the sum of new minus old.
 
 Then one row in ``commits/batch=N`` makes the batch visible. A batch that is
 committed again changes nothing; one that broke off is written afresh, since
 nothing reads what has no commit row. Totals are sums of deltas, so a commit
-never reads the texts of earlier batches.
+never reads the texts of earlier batches. Of their counts it reads the buckets
+that its own ids fall into, and there only row groups within its span of ids.
 
 Null sources and languages are groups of their own. Null texts are empty. A
 change without an id counts as a document that can't be revised: it is added. A
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from siftline.llm.storage import WORD, text_or_empty
 
 KEYS = ("source", "lang")
-COUNTS = "doc_id long, source string, lang string, live int, tokens map<string,long>, chars long, batch long"
+COUNTS = "doc_id long, source string, lang string, live int, tokens map<string,long>, chars long, bucket int, batch long"
 DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long, batch long"
 COMMITS = "n_changes long, batch long"
 #: Letters, single digits, and runs of anything else between white space.
@@ -45,13 +47,17 @@ TOKENIZERS: dict[str, Callable[[Column], Column]] = {
 
 
 class Rollup:
-    """A rollup stored under one folder of shared storage."""
+    """A rollup stored under one folder of shared storage.
 
-    def __init__(self, spark: SparkSession, root: str, tokenizers: dict[str, Callable[[Column], Column]] | None = None):
-        self.spark, self.root, self.tokenizers = spark, root.rstrip("/"), tokenizers or TOKENIZERS
+    ``buckets`` stays the same for a folder's whole life; a bucket of the largest
+    batch should suit one task."""
+
+    def __init__(self, spark: SparkSession, root: str, tokenizers: dict[str, Callable[[Column], Column]] | None = None, buckets: int = 64):
+        self.spark, self.root, self.tokenizers, self.buckets = spark, root.rstrip("/"), tokenizers or TOKENIZERS, buckets
         for name, schema in (("counts", COUNTS), ("deltas", DELTAS), ("commits", COMMITS)):
             # The folders exist from the start, so that reading is never a guess.
-            spark.createDataFrame([], schema).drop("batch").write.mode("append").parquet(f"{self.root}/{name}/batch=-1")
+            inner = "/bucket=-1" if name == "counts" else ""
+            spark.createDataFrame([], schema).drop("batch", "bucket").write.mode("append").parquet(f"{self.root}/{name}/batch=-1{inner}")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).option("recursiveFileLookup", "false").parquet(f"{self.root}/{name}")
@@ -62,8 +68,15 @@ class Rollup:
     def _committed(self, name: str, schema: str) -> DataFrame:
         return self._read(name, schema).join(self.commits(), "batch", "left_semi")
 
-    def _write(self, frame: DataFrame, name: str, batch: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
+    def _write(self, frame: DataFrame, name: str, batch: int, *by: str) -> None:
+        frame.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{name}/batch={batch}")
+
+    def earlier(self, batch: int) -> DataFrame:
+        """Committed counts that the batch's ids may have had before."""
+        new = self._read("counts", COUNTS).filter((F.col("batch") == batch) & F.col("doc_id").isNotNull())
+        span = new.agg(F.collect_set("bucket").alias("buckets"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+        met = F.col("bucket").isin(span["buckets"]) & F.col("doc_id").between(span["least"], span["most"])
+        return self._committed("counts", COUNTS).filter((F.col("batch") != batch) & met).join(new.select("doc_id"), "doc_id", "left_semi")
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Apply one batch once; False if it had been committed before."""
@@ -81,12 +94,12 @@ class Rollup:
         order = F.struct("seq", "live", "chars", *versions, F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
         row = F.struct("source", "lang", "live", "tokens", "chars")
         last = counted.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max_by(row, order).alias("r")).select("doc_id", "r.*")
-        last = last.unionByName(counted.filter("doc_id IS NULL AND live = 1").drop("seq"))
-        self._write(last, "counts", batch)
+        last = last.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int"))
+        # Rows without id are never looked up, and stay in the tasks that they are in.
+        unnamed = counted.filter("doc_id IS NULL AND live = 1").drop("seq").withColumn("bucket", F.lit(-1))
+        self._write(last.repartition("bucket").sortWithinPartitions("bucket", "doc_id").unionByName(unnamed), "counts", batch, "bucket")
         new = self._read("counts", COUNTS).filter(F.col("batch") == batch)
-        ids = new.select("doc_id").filter("doc_id IS NOT NULL")
-        earlier = self._committed("counts", COUNTS).filter(F.col("batch") != batch).join(ids, "doc_id", "left_semi")
-        old = earlier.groupBy("doc_id").agg(F.max_by(row, "batch").alias("r")).select("r.*")
+        old = self.earlier(batch).groupBy("doc_id").agg(F.max_by(row, "batch").alias("r")).select("r.*")
         self._write(self._summed(new, 1).unionByName(self._summed(old, -1)), "deltas", batch)
         self._write(new.agg(F.count("*").alias("n_changes")), "commits", batch)
         return True
