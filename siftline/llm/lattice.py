@@ -22,6 +22,12 @@ from the vocabulary's own order and are refined by expectation maximisation over
 all distinct training words. Letters without a piece cost their bytes. Summed
 over all words the probabilities are at most one.
 
+A training text is scored by what the other rows teach: its own words and phrases
+are taken out of the counts, totals and types first, so that its score is comparable
+to a held-out text's. (Discounts and piece scores are kept; they are a few numbers
+and one table for the whole corpus.) ``lattice_score`` is the plain lattice of seen
+words and subwords, without repeats and phrases.
+
 Texts are read once. Each partition becomes chunks: the distinct words with
 their training counts, the same of phrases, and the texts as numbers of both.
 Only distinct words and phrases per chunk are shuffled; counts come back to the chunk they are needed in.
@@ -230,17 +236,57 @@ def repeated(uses: np.ndarray, among: np.ndarray, weight: float, p: np.ndarray,
     return share, result
 
 
-def text_scores(tokens: np.ndarray, lengths: np.ndarray, logs: np.ndarray, sizes: np.ndarray, copied: np.ndarray, spelled: float) -> np.ndarray:
+def uses_in(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place how often its owner uses its key, and whether it is the first use."""
+    earlier, number = ranked(owner * (int(keys.max(initial=0)) + 1) + keys)
+    return np.bincount(number, minlength=1)[number], earlier == 0
+
+
+class Counts:
+    """Counts of words or phrases as each text is to see them.
+
+    ``owner`` numbers the text of each place, ``keys`` what stands there, ``c`` its
+    uses in training. A text that ``learnt`` marks is left out of its own counts.
+    """
+
+    def __init__(self, owner: np.ndarray, keys: np.ndarray, c: np.ndarray, learnt: np.ndarray, total: int, types: int):
+        own, first = uses_in(owner, keys)
+        own, texts = np.where(learnt[owner], own, 0), len(learnt)
+        self.c = c - own
+        self.total = total - np.where(learnt, np.bincount(owner, minlength=texts), 0)
+        gone = first & (own > 0) & (self.c == 0)
+        self.types = types - np.bincount(owner[gone], minlength=texts)
+        self.owner = owner
+
+    def whole(self, discount: float) -> np.ndarray:
+        """Log10 of the discounted share of each place, minus infinity where it is new."""
+        known = self.c > 0
+        share = np.full(len(known), -np.inf)
+        share[known] = np.log10((self.c[known] - discount) / self.total[self.owner[known]])
+        return share
+
+    def spare(self, discount: float, empty: float) -> np.ndarray:
+        """Log10 of what discounts leave in each text's view; ``empty`` without counts."""
+        left = np.full(len(self.types), np.log10(empty))
+        some = self.types > 0
+        left[some] = np.log10(discount * self.types[some] / self.total[some])
+        return left
+
+
+def text_scores(
+    tokens: np.ndarray, lengths: np.ndarray, logs: np.ndarray, sizes: np.ndarray, copied: np.ndarray, spelled: float | np.ndarray, each: np.ndarray | None = None
+) -> np.ndarray:
     """Log10 probability of each text, its end included, over all paths.
 
-    ``logs`` holds the scores of the words that ``tokens`` number, ``sizes`` and
-    ``copied`` the words of each phrase and its score as a whole, ``spelled`` that
-    of spelling a phrase out.
+    ``logs`` holds the scores of the words that ``tokens`` number (``each``, if given,
+    the score at each place instead), ``sizes`` and ``copied`` the words of each phrase
+    and its score as a whole, ``spelled`` that of spelling a phrase out.
     """
     starts = np.cumsum(lengths) - lengths
     text = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(tokens)) - starts[text]
-    alone = (10.0 ** logs[tokens], logs[tokens])
+    each = logs[tokens] if each is None else each
+    alone = (10.0**each, each)
     used, _ = ranked(text * len(logs) + tokens)
     before = np.where(place > 0, tokens[np.arange(len(tokens)) - 1], len(logs))
     behind, context = ranked(text * (len(logs) + 1) + before)
@@ -366,7 +412,7 @@ def unpacked(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def score_texts(docs: DataFrame, path: str, held_out: Column) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score``."""
     spark = docs.sparkSession
     chunks = chunk_table(docs, held_out)
     places = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("chunk", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
@@ -381,65 +427,67 @@ def score_texts(docs: DataFrame, path: str, held_out: Column) -> DataFrame:
     first = F.row_number().over(same.orderBy("chunk")) == 1
     spans = stored(spans.select("chunk", "pos", F.sum("n").over(same).alias("c"), first.alias("first")))
     p, left = tally(spans.filter("first"))
-    spelled = float(np.log10(left * p["types"] / p["n"])) if p["n"] else 0.0
     shared = spark.sparkContext.broadcast(piece_scores(words.filter("c > 0"), path))
+    end_base = float(np.log10((ends + 1) / (total + types + 1)))
 
     def marginals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary(path)[0], shared.value)
         for batch in batches:
-            c = batch.column(1).to_numpy()
             logs = lattice.marginals(batch.column(0).to_pylist()) / np.log(10)
-            if t["types"]:
-                logs += np.log10(discount * t["types"] / total)
-                seen = c > 0
-                logs[seen] = either(np.log10((c[seen] - discount) / total), logs[seen])
-            else:
-                logs += np.log10(0.5)
-            base = np.log10((c + 1) / (total + types + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c > 0), pa.array(base), pa.array(logs)], names=["word", "known", "base", "log"])
-
-    scored = words.mapInArrow(marginals, "word binary, known boolean, base double, log double")
-    back = places.select("chunk", "pos", "word").join(scored, "word").select("chunk", "pos", "known", "base", "log", F.lit(False).alias("phrase"))
-    # Phrases of training alone have a score; the others are only spelled out.
-    whole = F.log10((F.col("c") - left) / max(p["n"], 1)).alias("log")
-    copied = spans.filter(F.col("c") > left).select("chunk", "pos", F.lit(None).cast("boolean").alias("known"), F.lit(None).cast("double").alias("base"), whole, F.lit(True).alias("phrase"))
-    back = back.unionByName(copied)
-    end_base = float(np.log10((ends + 1) / (total + types + 1)))
-    end_log = float(np.log10(ends / total)) if t["types"] else float(np.log10(0.5))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logs)], names=["word", "c", "log"])
+
+    scored = words.mapInArrow(marginals, "word binary, c long, log double")
+    back = places.select("chunk", "pos", "word").join(scored, "word").select("chunk", "pos", "c", "log")
+    # Phrases (without a log) of training alone come back; the others are only spelled out.
+    back = back.unionByName(spans.filter("c > 0").select("chunk", "pos", "c", F.lit(None).cast("double").alias("log")))
+    n_words, n_types, n_phrases, phrase_types = t["n"], t["types"], p["n"], p["types"]
 
     def documents(chunk: pa.Table, stats: pa.Table) -> pa.Table:
         column = lambda name: chunk.column(name).combine_chunks()
         lengths = np.array(column("lengths")[0].as_py() or [], dtype=np.int64)
+        learnt = ~np.array(column("held")[0].as_py() or [], dtype=bool)
         tokens = unpacked(column("tokens"), np.int32)
         stretches, sizes = unpacked(column("spans"), np.int32), unpacked(column("sizes"), np.uint8).astype(np.int64)
-        whole = stats.column("phrase").to_numpy()
-        found = stats.filter(pa.array(whole))
-        as_one = np.full(int(stretches.max(initial=-1)) + 1, -np.inf)
-        as_one[found.column("pos").to_numpy()] = found.column("log").to_numpy()
-        as_one, phrase_ends = as_one[stretches], np.cumsum(sizes)
-        stats = stats.filter(pa.array(~whole))
+        is_word = stats.column("log").is_valid().to_numpy()
+        found = stats.filter(pa.array(~is_word))
+        phrase_uses = np.zeros(int(stretches.max(initial=-1)) + 1, np.int64)
+        phrase_uses[found.column("pos").to_numpy()] = found.column("c").to_numpy()
+        phrase_ends = np.cumsum(sizes)
+        stats = stats.filter(pa.array(is_word))
         order = np.argsort(stats.column("pos").to_numpy())
+        word_uses, spell = stats.column("c").to_numpy()[order], stats.column("log").to_numpy()[order]
         starts = np.concatenate([[0], np.cumsum(lengths)])
-        sums = {}
-        for name in ("known", "base"):
-            values = stats.column(name).to_numpy()[order].astype(float)
+
+        def sums(values: np.ndarray) -> np.ndarray:
             # Summed per text, so that one text's rounding is not another's.
-            padded = np.append(values[tokens], 0.0)
-            sums[name] = np.where(lengths > 0, np.add.reduceat(padded, starts[:-1]), 0.0) if len(lengths) else np.zeros(0)
-        logs = np.append(stats.column("log").to_numpy()[order], end_log)
-        score = [np.zeros(0)]
+            padded = np.append(values[tokens].astype(float), 0.0)
+            return np.where(lengths > 0, np.add.reduceat(padded, starts[:-1]), 0.0) if len(lengths) else np.zeros(0)
+
+        known, base = sums(word_uses > 0), sums(np.log10((word_uses + 1) / (total + types + 1)))
+        score, plain = [np.zeros(0)], [np.zeros(0)]
         for part in blocks_of(lengths + 1):
-            texts = with_ends(tokens[starts[part.start] : starts[part.stop]], lengths[part], len(logs) - 1)
+            n, taught = lengths[part], learnt[part]
+            block, texts = tokens[starts[part.start] : starts[part.stop]], np.arange(len(n))
+            owner = np.repeat(texts, n)
+            seen = Counts(owner, block, word_uses[block], taught, n_words, n_types)
+            # Words share the total with the ends; a text left out takes its own end along.
+            seen.total = seen.total + ends - taught
+            at = either(seen.whole(discount), seen.spare(discount, 0.5)[owner] + spell[block])
+            others = np.where(seen.types > 0, (ends - taught) / np.maximum(seen.total, 1), 0.5)
+            each = np.insert(at, np.cumsum(n), np.log10(others))
+            whole = with_ends(block, n, len(spell))
             a, b = np.searchsorted(phrase_ends, (starts + np.arange(len(starts)))[[part.start, part.stop]], side="right")
-            score.append(text_scores(texts, lengths[part] + 1, logs, sizes[a:b], as_one[a:b], spelled))
-        n = len(lengths)
+            of = np.searchsorted(np.cumsum(n + 1), np.cumsum(sizes[a:b]))
+            copies = Counts(of, stretches[a:b], phrase_uses[stretches[a:b]], taught, n_phrases, phrase_types)
+            score.append(text_scores(whole, n + 1, np.append(spell, 0.0), sizes[a:b], copies.whole(left), copies.spare(left, 1.0)[of], each))
+            plain.append(np.add.reduceat(each, np.cumsum(n + 1) - n - 1))
         return pa.table({
             "doc_id": column("ids").flatten(), "held_out": column("held").flatten(), "n_tokens": lengths + 1,
-            "n_known": np.rint(sums["known"]).astype(np.int64) + (1 if ends else 0), "train_tokens": np.full(n, total, np.int64),
-            "base_score": sums["base"] + end_base, "score": np.concatenate(score),
+            "n_known": np.rint(known).astype(np.int64) + (1 if ends else 0), "train_tokens": np.full(len(lengths), total, np.int64),
+            "base_score": base + end_base, "score": np.concatenate(score), "lattice_score": np.concatenate(plain),
         })
 
-    fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
     texts = chunks.select(F.col("chunk").alias("of"), "ids", "held", "lengths", "tokens", "spans", "sizes")
     return texts.groupBy("of").cogroup(back.groupBy("chunk")).applyInArrow(documents, fields)
 
