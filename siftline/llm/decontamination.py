@@ -116,13 +116,15 @@ def keyed_items(benchmark: DataFrame) -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """``item_id, item_hash, item_pos, hash``: each window by the keys it is looked for."""
+    """``item_id, item_hash, size, item_pos, hash``: each window by the keys it is looked for,
+    with the number of the item's words."""
     most = WIDTH - LITERALS
     keys = F.arrays_zip("slots", "fixed", window_hashes("named").alias("named"), window_hashes("masked").alias("masked"), F.coalesce(window_hashes("exact"), F.array()).alias("exact"))
-    rows = hashed(items).select("item_id", "item_hash", F.posexplode(keys).alias("item_pos", "w")).select("item_id", "item_hash", "item_pos", "w.*")
+    of = ["item_id", "item_hash", "size"]
+    rows = hashed(items).withColumn("size", F.size("words")).select(*of, F.posexplode(keys).alias("item_pos", "w")).select(*of, "item_pos", "w.*")
     plain = F.when(F.col("fixed") <= most, F.col("named")).otherwise(F.col("exact"))
     other = F.when((F.col("slots") > F.col("fixed")) & (F.col("slots") <= most), F.array(plain, "masked")).otherwise(F.array(plain))
-    return stored(rows.select("item_id", "item_hash", "item_pos", F.explode(other).alias("hash")).distinct())
+    return stored(rows.select(*of, "item_pos", F.explode(other).alias("hash")).distinct())
 
 
 def document_windows(docs: DataFrame, key: list[str]) -> DataFrame:
@@ -152,16 +154,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key, of = ["doc_id", "text_hash"], ["item_id", "item_hash"]
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text")
     met = document_windows(named, key).join(asked, "hash")
-    found = stored(met.select(*key, *of, (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
+    found = stored(met.select(*key, *of, "size", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     # Texts are read again only where a window was met, once per text.
-    places = found.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct(*of, "shift")).alias("places"))
+    places = found.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct(*of, "size", "shift")).alias("places"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))
     texts = split_texts(named.join(places, same).drop_duplicates(key), [*key, "places"])
-    laid = texts.select(*key, "words", F.explode("places").alias("p")).select(*key, "p.*", F.col("words").alias("doc_words")).join(items, of)
     # Words of the item before the document's first one have nothing to stand against.
     skipped = F.greatest(-F.col("shift"), F.lit(0))
-    rest = F.size("words") - skipped
-    cut = laid.select(*key, *of, "slots", "fixed", skipped.alias("skipped"), F.slice("words", skipped + 1, rest).alias("item"), F.slice("doc_words", F.greatest("shift", F.lit(0)) + 1, rest).alias("doc"))
+    stretch = F.slice("words", F.greatest("shift", F.lit(0)) + 1, F.col("size") - skipped)
+    # Only the stretch beside the item leaves the text, however many places it has.
+    laid = texts.select(*key, "words", F.explode("places").alias("p")).select(*key, "words", "p.*").select(*key, *of, skipped.alias("skipped"), stretch.alias("doc"))
+    cut = laid.join(items, of).select(*key, *of, "slots", "fixed", "skipped", F.slice("words", F.col("skipped") + 1, F.size("words") - F.col("skipped")).alias("item"), "doc")
     # A document that ends within the item is padded with nulls, which agree with nothing.
     agreed = compute_once(cut, {"level": F.zip_with("item", "doc", agreement)})
     windows = compute_once(agreed, {"whole": F.transform(places_of("item"), lambda i: F.array_min(F.slice("level", i + 1, WIDTH)))})
