@@ -160,3 +160,28 @@ def test_a_lost_checkpoint_loses_nothing(spark, tmp_path):
     assert len(store.manifest()) == commits  # nothing new landed
     ingest.ingest_landing(spark, landing, store, sources, LATER, checkpoint=str(tmp_path / "again"))
     assert sorted(store.current().select("id", "title", "first_seen_at").collect()) == sorted(before)
+
+
+def test_a_batch_opens_each_response_once(spark, tmp_path, monkeypatch):
+    """Every feed reads the folder of its own responses, not the whole batch."""
+    landing, met, union = str(tmp_path / "landing"), [], registry.union_entries
+
+    def watch(landed, sources):
+        places = landed.select("source", F.col("_metadata.file_path").alias("place"))
+        met.append({(r["source"], re.search(r"/store/landed/.*/source=(\w+)/", r["place"])[1]) for r in places.collect()})
+        met.append(sorted(map(str, landed.select("source", "company", "payload_id", "kind", "body", "error").collect())))
+        return union(landed, sources)
+
+    bodies = {"source=remotive/company=x/a.json": '{"jobs":[{"id":1,"url":"https://e.org/1","title":"A"}]}', "source=lever/company=acme/b.json": "[]", "source=lever/company=acme/c.error": " gone "}
+    for name, body in bodies.items():
+        os.makedirs(os.path.dirname(f"{landing}/{name}"), exist_ok=True)
+        with open(f"{landing}/{name}", "w") as f:
+            f.write(body)
+    monkeypatch.setattr(registry, "union_entries", watch)
+    store, setting = MergeStore(spark, str(tmp_path / "store"), buckets=2), spark.conf.get(ingest.LISTING_TASKS)
+    ingest.ingest_landing(spark, landing, store, registry.build_sources(("remotive", "lever"), {"lever": ["acme"]}), NOW)
+    places, rows = met
+    assert places == {("remotive", "remotive"), ("lever", "lever")}
+    assert rows == sorted(map(str, read_landing(spark, landing).select("source", "company", "payload_id", "kind", "body", "error").collect()))
+    assert store.current().count() == 1 and ingest.quarantined(store).count() == 1
+    assert spark.conf.get(ingest.LISTING_TASKS) == setting
