@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from functools import cmp_to_key
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.operators import order_index, search_index, views
 from siftline.plans.scratch import scratch_dir
@@ -92,3 +93,19 @@ def test_search_index_of_nothing(spark, view):
     search_index.build_search_index(view.limit(0), path)
     assert search_index.search(spark, path, "engineer").count() == 0
     assert search_index.search(spark, path, "en").count() == 0
+
+
+def test_ordering_reads_its_input_once(spark, view):
+    """Dealing out by range looks at its input twice; the view is worked out once."""
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(i):
+        counted.add(1)
+        return i
+
+    watched = view.withColumn("id", seen.asNondeterministic()("id"))
+    order_index.build_order_index(watched, "posted_at", scratch_dir(spark), files=4)
+    assert counted.value == view.count()
+    placed = views.ordered_positions(watched.select("id", "prescore"), views.order_columns("prescore"), scratch_dir(spark))
+    assert placed.count() == view.count() and counted.value == 2 * view.count()
