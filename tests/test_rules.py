@@ -192,3 +192,30 @@ def test_rule_files(tmp_path):
         read_rules(path)
     with pytest.raises(RuleError):
         read_rules(tmp_path / "absent.json")
+
+
+def test_possible_phrases_miss_none(spark):
+    """Wherever a pattern finds a phrase, the screen by words lets it through."""
+    phrases = ["us only", "u.s. citizens", "work from anywhere", "c++", "(kiosk)", "no visa sponsorship", "über only", "---"]
+    pieces = ["US", "us", "u\u017f", "U.S.", "citizens", "c\u0131t\u0130zen\u017f", "work", "wor\u212a", "FROM", "anywhere", "only", "C++", "(kiosk)", "(\u212aio\u017fk)", "---", "ÜBER", "bus", "no_visa", "visa\u00a0sponsorship", "no"]
+    texts = [sep.join(p) for a in pieces for b in pieces for sep in (" ", "\n", "_", "é") for p in [(a, b), (a, "from", b)]] + ["", "é"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = frame.select("*", E.possible_phrases(F.col("t"), phrases).alias("possible"), *[F.col("t").rlike(phrase(p)).alias(f"p{i}") for i, p in enumerate(phrases)])
+    rows = found.collect()
+    met = 0
+    for row in rows:
+        for i, p in enumerate(phrases):
+            met += row[f"p{i}"]
+            assert not row[f"p{i}"] or p in row["possible"], (row["t"], p)
+    assert met > 100
+    # And it keeps most patterns from running at all.
+    assert sum("us only" in r["possible"] for r in rows) < len(rows) / 4
+
+
+def test_no_other_letter_matches_an_ascii_one(spark):
+    """The letters that the screen replaces are all that a pattern takes for ASCII's."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    codes = [(chr(i),) for i in range(128, 0x11000) if not 0xD800 <= i < 0xE000]
+    frame = spark.createDataFrame(codes, "c string")
+    got = {r["c"] for r in frame.filter(F.col("c").rlike(f"(?iU)[{letters}]") | F.lower("c").rlike("[a-z0-9]")).collect()}
+    assert got == set(E.LOOKALIKES[0])
